@@ -34,6 +34,8 @@ LABELLERS = (
 VOTERS = len(LABELLERS) + 1
 #: Before any counts: bad votes on good texts are this rare, and this share of all texts says so.
 RARE, BELIEF = 0.002, 0.05
+#: A good text isn't plain with this chance at least, however few of a corpus are not.
+NOT_PLAIN = 0.2
 
 
 def _votes(m: dict[str, np.ndarray]) -> np.ndarray:
@@ -57,9 +59,10 @@ class LabelModel:
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         log = np.log(np.array([[1 - self.good], [self.good]])) + np.zeros((2, len(patterns)))
         for k in range(VOTERS):
-            vote = patterns // 3**k % 3
-            # That a text isn't plain says nothing by itself; that a labeller finds nothing bad does.
-            log += np.where((vote == 0) & (k == VOTERS - 1), 0.0, np.log(self.votes[k][:, vote]))
+            seen = np.log(self.votes[k])
+            if k == VOTERS - 1:
+                seen[1, 0] = max(seen[1, 0], np.log(NOT_PLAIN))
+            log += seen[:, patterns // 3**k % 3]
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
 
