@@ -156,7 +156,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
 
     counted = docs.select(F.col(text).alias("t")).mapInArrow(patterns, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect()  # 3 ** labellers rows at most
     if not counted:
-        return LabelModel(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)), Scorer(np.zeros(BUCKETS, np.float32), 1.0)
+        return LabelModel(0.5, np.full((VOTERS, 2, 3), 1 / 3)), Scorer(np.zeros(BUCKETS, np.float32), 1.0)
     model = expectation_maximisation(np.array([r["p"] for r in counted]), np.array([r["n"] for r in counted], float))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 #: Masks over consecutive tokens: 1 is compared, 0 ignored. All have one span. Two of three neighbours may differ under one or other.
 MASKS = ("11011011", "10110111", "11101101")
 #: Tokens of a stretch (the whole item if that is shorter), and percent of them that must be equal.
 STRETCH, PERCENT = 16, 75
 #: A checked bound of broadcasts, in seeds of the test items (some 100 bytes each).
 BROADCAST_SEEDS = 200_000
+#: The same for the alignments found (each with its item's tokens, some 500 bytes).
+BROADCAST_PLACES = 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -25,17 +29,17 @@ def tokens(text: Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """rows with h (array of tokens): one row for each position and mask, with pos (0-based) and seed."""
+def _seeds(rows: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
+    """From rows with h (array of tokens): a row for each position and mask, with pos (0-based), seed and the columns kept. h itself is left behind: a long text must not be copied for each of its tokens."""
     span = len(masks[0])
     n = F.size("h")
     shifted = [F.slice("h", F.lit(k + 1), F.greatest(n - span + 1, F.lit(0))).alias(f"w{k}") for k in range(span)]
-    at = rows.select(*rows.columns, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
+    at = rows.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
     hashes = [F.xxhash64(F.lit(m), *(F.col(f"w.w{k}") for k in range(span) if mask[k] == "1")) for m, mask in enumerate(masks)]
-    return at.select(*rows.columns, "pos", F.explode(F.array(*hashes)).alias("seed"))
+    return at.select(*keep, "pos", F.explode(F.array(*hashes)).alias("seed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, stretch: int = STRETCH, percent: int = PERCENT, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, stretch: int = STRETCH, percent: int = PERCENT, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """key, item, n_equal, n_tokens, first_token: one row for each text and item of which a passage was found.
 
     first_token is where the item's first token falls in the text (negative if the text starts inside the item),
@@ -48,25 +52,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     if any(len(m) != span for m in masks):
         raise ValueError("all masks need one span")
     items = benchmark.select(F.col(item_key).cast("long").alias("item"), tokens(F.col(item_text)).alias("h")).where(F.col("item").isNotNull() & (F.size("h") >= span))
-    seeds = _seeds(items, masks).select("item", F.col("h").alias("item_h"), F.col("pos").alias("item_pos"), "seed").dropDuplicates(["item", "item_h", "item_pos", "seed"])
+    items = items.withColumn("form", F.xxhash64("h")).dropDuplicates(["item", "form"])  # an id may have several texts
+    seeds = _seeds(items, masks, "item", "form").withColumnRenamed("pos", "item_pos")
     small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    if small:
-        seeds = F.broadcast(seeds)
     rows = docs.select(F.col(key).alias("_key"), tokens(F.col(text)).alias("h")).where(F.col("_key").isNotNull() & (F.size("h") >= span))
-    if small:
-        hits = _seeds(rows, masks).join(seeds, "seed")
-    else:
-        # Seeds alone are joined first; texts come back for the hits.
-        bare = rows.select("_key", "h").transform(lambda d: _seeds(d, masks)).select("_key", "pos", "seed").join(seeds, "seed")
-        hits = bare.groupBy("_key", "item", "item_h", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("pos").alias("pos"), F.min("item_pos").alias("item_pos")).join(rows, "_key")
+    hits = _seeds(rows, masks, "_key").join(F.broadcast(seeds) if small else seeds, "seed")
+    # One row for each alignment that a seed fixes; the many hits of one passage meet in partial aggregates.
+    places = kept(hits.select("_key", "item", "form", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+    few = places.limit(broadcast_places + 1).count() <= broadcast_places
+    known = items.select("item", "form", F.col("h").alias("item_h"))
+    places = places.join(F.broadcast(known) if small else known, ["item", "form"])
+    hits = rows.join(F.broadcast(places) if few and small else places, "_key")
     # The part of the text that lies along the item, null where the text has ended or not begun.
-    shift = F.col("pos") - F.col("item_pos")
+    shift = F.col("shift")
     size = F.size("item_h")
     own = F.slice("h", F.greatest(shift, F.lit(0)) + 1, size + F.least(shift, F.lit(0)))
     own = F.concat(F.array_repeat(F.lit(None).cast("long"), F.greatest(-shift, F.lit(0))), own)
     equal = F.zip_with("item_h", own, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
-    hits = hits.select("_key", "item", shift.alias("shift"), size.alias("n"), F.slice(equal, 1, size).alias("eq"))
-    # One row for each alignment from here on.
+    hits = hits.select("_key", "item", "shift", size.alias("n"), F.slice(equal, 1, size).alias("eq"))
     wide = F.least(F.col("n"), F.lit(stretch))
     best = F.aggregate(
         F.sequence(F.lit(0), F.col("n") - wide),
