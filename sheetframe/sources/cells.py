@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .opc import open_file, shared_strings
+from .opc import html_entities, open_file, shared_strings
 
 CHUNK = 1 << 20
 EMPTY, INT, FLOAT, TEXT, BOOL, ISO, ERROR = range(7)
@@ -27,8 +27,6 @@ CELLS = pa.schema([("row", pa.int64()), ("col", pa.int32()), ("kind", pa.int8())
 _ROW = re.compile(rb"<(?:\w+:)?row(?=[\s/>])")
 _END = re.compile(rb"</(?:\w+:)?sheetData\s*>|<(?:\w+:)?sheetData(?:\s[^>]*)?/>")
 _BEGIN = re.compile(rb"<(?:\w+:)?sheetData(?:\s[^>]*)?>")
-_USUAL = re.compile(rb'<c r="([A-Z]+)([0-9]+)"(?: s="([0-9]+)")?(?: t="([a-zA-Z]+)")?(?:/>|>(?:<f>[^<]*</f>)?<v>([^<]*)</v></c>)')
-_CELL = re.compile(rb"<(?:\w+:)?c(?=[\s/>])")
 #: 64-bit integers, and decimal numbers; infinity and NaN in words.
 _INT, _FLOAT = r"^[+-]?[0-9]+$", r"^(?i:[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|[+-]?(inf|infinity|nan))$"
 
@@ -77,7 +75,7 @@ def _row_chunks(path: str, part: str, lo: int, hi: int) -> Iterator[bytes]:
             more = f.read(CHUNK)
             last = not more
             rest += more
-            if end := _END.search(rest):
+            if b"sheetData" in rest and (end := _END.search(rest, max(0, rest.index(b"sheetData") - 64))):
                 rest, last = rest[: end.start()], True
             if not begun:
                 if m := _ROW.search(rest):
@@ -96,30 +94,122 @@ def _row_chunks(path: str, part: str, lo: int, hi: int) -> Iterator[bytes]:
                 if rest:
                     yield rest
                 return
-            cut = [m.start() for m in _ROW.finditer(rest, max(0, len(rest) - 4 * CHUNK))]
-            if len(cut) > 1 and cut[-1]:
-                yield rest[: cut[-1]]
-                base, rest = base + cut[-1], rest[cut[-1] :]
-
-
-_COLUMNS: dict[bytes, int] = {}
+            cut = rest.rfind(b"<row ")
+            if cut <= 0:
+                cut = max([0, *(m.start() for m in _ROW.finditer(rest))])
+            if cut > 0:
+                yield rest[:cut]
+                base, rest = base + cut, rest[cut:]
+
+
+#: Type attributes by number; anything else reads like none.
+NONE, SHARED, STR, INLINE, BOOLEAN, ERR, DATE = range(7)
+TYPES = {b"s": SHARED, b"str": STR, b"inlineStr": INLINE, b"b": BOOLEAN, b"e": ERR, b"d": DATE}
+#: The bytes after `<` by the tag that they begin.
+_C, _V, _END_V, _END_C, _ROW_TAG, _END_ROW = range(1, 7)
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+
+
+def spans_text(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings from byte ranges of a buffer, copied once."""
+    size = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    data = buf[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _digits(buf: np.ndarray, at: np.ndarray, end: np.ndarray, most: int) -> np.ndarray | None:
+    """Numbers written in buf[at:end], or None if any is not of 1 to `most` digits."""
+    size = end - at
+    if len(at) and (size.min() < 1 or size.max() > most):
+        return None
+    out = np.zeros(len(at), np.int64)
+    for k in range(int(size.max()) if len(at) else 0):
+        on = size > k
+        c = buf[np.where(on, at + k, 0)]
+        if not _DIGIT[c[on]].all():
+            return None
+        out = np.where(on, out * 10 + c - 48, out)
+    return out
 
 
 def _usual(chunk: bytes) -> tuple | None:
-    """Cells of a chunk in the usual layout as columns of bytes, or None if any cell is not."""
-    found = _USUAL.findall(chunk)
-    if len(found) != len(_CELL.findall(chunk)) or b"<!" in chunk or b"<is" in chunk:
+    """Cells of a chunk in the usual layout - `<c r=".." s=".." t=".."><v>..</v></c>` or closed at once - by whole arrays, or None if any cell has another."""
+    buf = np.frombuffer(chunk, np.uint8)
+    lt, gt = np.flatnonzero(buf == 60), np.flatnonzero(buf == 62)
+    if len(lt) != len(gt) or not len(lt) or not ((lt < gt).all() and (gt[:-1] < lt[1:]).all()) or gt[-1] - lt[-1] < 2:
+        return None
+    one, two, three = buf[lt + 1], buf[lt + 2], buf[np.minimum(lt + 3, len(buf) - 1)]
+    tag = np.zeros(len(lt) + 3, np.int8)
+    own = tag[: len(lt)]
+    own[(one == 99) & (two == 32)] = _C
+    own[(one == 118) & (two == 62)] = _V
+    own[(one == 47) & (two == 118) & (three == 62)] = _END_V
+    own[(one == 47) & (two == 99) & (three == 62)] = _END_C
+    own[(one == 114) & (two == 111) & (three == 119)] = _ROW_TAG
+    own[(one == 47) & (two == 114) & (three == 111)] = _END_ROW
+    if not own.all():
+        return None
+    cell = np.flatnonzero(own == _C)
+    if not len(cell):
+        return None
+    start, stop = lt[cell], gt[cell]
+    none = buf[stop - 1] == 47
+    full = (tag[cell + 1] == _V) & (tag[cell + 2] == _END_V) & (tag[cell + 3] == _END_C)
+    if not (none ^ full).all() or full.sum() != (own == _V).sum() or (own == _V).sum() != (own == _END_C).sum():
+        return None
+    if not ((buf[start + 3] == 114) & (buf[start + 4] == 61) & (buf[start + 5] == 34)).all():
         return None
-    if not found:
-        return [], [], [], [], [], []
-    letters, rows, styles, types, values = zip(*found, strict=True)
-    for name in set(letters):
-        if name not in _COLUMNS:
-            _COLUMNS[name] = column_index(name.decode())
-    cols = np.fromiter(map(_COLUMNS.__getitem__, letters), np.int32, len(letters))
-    rows = pc.cast(pa.array(rows, pa.binary()).cast(pa.string()), pa.int64()).to_numpy() - 1
-    styles = np.array([int(s) if s else -1 for s in styles], np.int32)
-    return rows, cols, styles, types, values, None
+    quotes = np.flatnonzero(buf == 34)
+    q = np.searchsorted(quotes, start + 6)
+    if q[-1] >= len(quotes):
+        return None
+    close = quotes[q]
+    # A reference: one to three capital letters, then digits.
+    cols, width, going = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64), np.ones(len(cell), bool)
+    for k in range(3):
+        c = buf[start + 6 + k]
+        going &= (c >= 65) & (c <= 90)
+        cols, width = np.where(going, cols * 26 + c - 64, cols), width + going
+    rows = _digits(buf, start + 6 + width, close, 9)
+    if rows is None or not width.all():
+        return None
+    styles, types = np.full(len(cell), -1, np.int32), np.zeros(len(cell), np.int8)
+    inside_end = np.where(none, stop - 1, stop)
+    todo = np.flatnonzero(close + 1 < inside_end)
+    while len(todo):  # one more attribute of each cell that has any left
+        at = close[todo] + 1
+        which, q2 = buf[np.minimum(at + 1, len(buf) - 1)], q[todo] + 2
+        if not ((buf[at] == 32) & (buf[np.minimum(at + 2, len(buf) - 1)] == 61) & (buf[np.minimum(at + 3, len(buf) - 1)] == 34) & (q2 < len(quotes))).all():
+            return None
+        end = quotes[q2]
+        s, t = which == 115, which == 116
+        if not (s | t).all():
+            return None
+        if s.any():
+            if (n := _digits(buf, (at + 4)[s], end[s], 6)) is None:
+                return None
+            styles[todo[s]] = n
+        if t.any():
+            names = spans_text(buf, (at + 4)[t], end[t]).dictionary_encode()
+            codes = np.array([TYPES.get(x.encode(), NONE) for x in names.dictionary.to_pylist()], np.int8)
+            types[todo[t]] = codes[names.indices.to_numpy()]
+        close[todo], q[todo] = end, q2
+        todo = todo[close[todo] + 1 < inside_end[todo]]
+    if (types == INLINE).any():
+        return None
+    value = np.minimum(cell + 1, len(lt) - 1)
+    begin = np.where(none, 0, gt[value] + 1)
+    finish = np.where(none, 0, lt[np.minimum(cell + 2, len(lt) - 1)])
+    raw = spans_text(buf, begin, finish)
+    if b"&" in chunk and pc.any(odd := pc.match_substring(raw, "&")).as_py():
+        raw = pc.replace_with_mask(raw, odd, pa.array([html_entities(t) for t in raw.filter(odd).to_pylist()], pa.large_string()))
+    if none.any():
+        raw = pc.if_else(pa.array(none), pa.scalar(None, pa.large_string()), raw)
+        styles[none] = -1
+    return np.maximum(rows - 1, 0), (cols - 1).astype(np.int32), styles, types, raw
 
 
 def _parsed(chunk: bytes, state: dict) -> tuple:
@@ -164,7 +254,7 @@ def _parsed(chunk: bytes, state: dict) -> tuple:
                 cell["t"] = "inlineStr"
             text = None
         elif name == "c" and cell is not None:
-            rows.append(cell["row"]), cols.append(cell["col"]), styles.append(cell["s"]), types.append(cell["t"].encode())
+            rows.append(cell["row"]), cols.append(cell["col"]), styles.append(cell["s"]), types.append(TYPES.get(cell["t"].encode(), NONE))
             values.append(cell["v"])
             raw = chunk[max(0, parser.CurrentByteIndex - shift - 2) : max(0, parser.CurrentByteIndex - shift)]
             closed.append(cell["v"] is None and raw == b"/>")
@@ -179,7 +269,7 @@ def _parsed(chunk: bytes, state: dict) -> tuple:
     shift = len(opening)
     parser.Parse(opening + chunk + b"</sheetData>", True)
     # `<v/>` has no value; expat tells it from `<v></v>` by nothing but its bytes.
-    return np.array(rows, np.int64), np.array(cols, np.int32), np.array(styles, np.int32), types, values, closed
+    return np.array(rows, np.int64), np.array(cols, np.int32), np.array(styles, np.int32), np.array(types, np.int8), values, closed
 
 
 _SELF_V = re.compile(rb"<(?:\w+:)?v(?:\s[^>]*)?/>")
@@ -195,26 +285,9 @@ def cells(path: str, part: str, lo: int, hi: int, whole: bool, strings: bool = T
     state = {"row": -1, "col": -1, "whole": whole}
     for chunk in _row_chunks(path, part, lo, hi):
         usual = _usual(chunk)
-        if usual is not None and len(usual[0]):
-            rows, cols, styles, types, values, _ = usual
+        if usual is not None:
+            rows, cols, styles, types, raw = usual
             state["row"] = int(rows[-1])
-            none = np.fromiter((v == b"" for v in values), bool, len(values))
-            if none.any():  # self-closing cells against empty values
-                none &= np.array([m[0].endswith(b"/>") for m in _USUAL.finditer(chunk)])
-            styles = np.where(none, -1, styles)
-            raw = pa.array(values, pa.large_binary()).cast(pa.large_string())
-            if b"&" in chunk and pc.any(odd := pc.match_substring(raw, "&")).as_py():
-                from .opc import html_entities
-
-                raw = pc.replace_with_mask(raw, odd, pa.array([html_entities(t) for t in raw.filter(odd).to_pylist()], pa.large_string()))
-            raw = pc.if_else(pa.array(none), pa.scalar(None, pa.large_string()), raw)
-        elif usual is not None:
-            if b"<!" in chunk and not whole:
-                raise NeedsOneSplit
-            # Rows without cells are no rows, but those without a number count on.
-            if whole and _ROW.search(chunk):
-                _parsed(chunk, state)
-            continue
         else:
             if not whole and (b"<!--" in chunk or b"<![CDATA[" in chunk):
                 raise NeedsOneSplit
@@ -229,30 +302,43 @@ def cells(path: str, part: str, lo: int, hi: int, whole: bool, strings: bool = T
         yield _typed(path, rows, cols, styles, types, raw, strings)
 
 
+def _all_digits(raw: pa.Array) -> np.ndarray:
+    """Which texts are nothing but digits, one at least."""
+    raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+    _, offsets, data = raw.buffers()
+    at = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    run = np.zeros(int(at[-1]) + 1, np.int64)
+    if at[-1]:
+        np.cumsum(_DIGIT[np.frombuffer(data, np.uint8)[: at[-1]]], out=run[1:])
+    size = at[1:] - at[:-1]
+    return (run[at[1:]] - run[at[:-1]] == size) & (size > 0) & pc.is_valid(raw).to_numpy(zero_copy_only=False)
+
+
 def _typed(path: str, rows, cols, styles, types, raw: pa.Array, strings: bool) -> pa.Table:
     kind = np.full(len(rows), TEXT, np.int8)
-    codes = np.array(types, dtype="S10") if len(types) else np.zeros(0, "S10")
     null = pc.is_null(raw).to_numpy(zero_copy_only=False)
-    shared = codes == b"s"
-    known = shared | np.isin(codes, [b"str", b"inlineStr", b"b", b"e", b"d"])
-    number = ~known
-    is_int = pc.fill_null(pc.match_substring_regex(raw, _INT), False).to_numpy(zero_copy_only=False) & number
-    is_float = pc.fill_null(pc.match_substring_regex(raw, _FLOAT), False).to_numpy(zero_copy_only=False) & number & ~is_int
+    shared, number = types == SHARED, types == NONE
+    plain = _all_digits(raw)
+    is_int, is_float = plain & number, np.zeros(len(rows), bool)
+    if len(rest := np.flatnonzero(number & ~plain & ~null)):
+        texts = raw.take(pa.array(rest))
+        is_int[rest] = pc.match_substring_regex(texts, _INT).to_numpy(zero_copy_only=False)
+        is_float[rest] = pc.match_substring_regex(texts, _FLOAT).to_numpy(zero_copy_only=False) & ~is_int[rest]
     if is_int.any():
         long = is_int & (pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False) > 18)
         for i in np.flatnonzero(long):
             if not -(2**63) <= int(raw[int(i)].as_py()) < 2**63:
                 is_int[i], is_float[i] = False, True
     kind[is_int], kind[is_float] = INT, FLOAT
-    kind[codes == b"b"], kind[codes == b"e"], kind[codes == b"d"] = BOOL, ERROR, ISO
+    kind[types == BOOLEAN], kind[types == ERR], kind[types == DATE] = BOOL, ERROR, ISO
     kind[null] = EMPTY
     if (bools := (kind == BOOL)).any():
         raw = pc.if_else(pa.array(bools), pc.if_else(pc.equal(raw, "0"), "false", "true"), raw)
     if shared.any() and strings:
         table = shared_strings(path)
         on = shared & ~null
-        at = pc.if_else(pa.array(on & pc.fill_null(pc.match_substring_regex(raw, r"^\+?[0-9]{1,18}$"), False).to_numpy(zero_copy_only=False)), raw, pa.scalar(None, pa.large_string()))
-        at = pc.cast(pc.replace_substring(at, "+", ""), pa.int64())
+        short = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False) <= 18
+        at = pc.cast(pc.if_else(pa.array(on & plain & short), raw, pa.scalar(None, pa.large_string())), pa.int64())
         inside = pc.fill_null(pc.less(at, len(table)), False)
         beyond = pc.and_(pc.is_valid(at), pc.invert(inside)).to_numpy(zero_copy_only=False)
         looked = pc.take(table, pc.if_else(inside, at, pa.scalar(None, pa.int64())))
