@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import random
-import datetime as dt
+import re
+import tempfile
 from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .sources.writer import temporary, write_xlsx
 
@@ -22,34 +23,31 @@ KEYS = {
 CELL = 32_000
 
 
-def _rows(table: pa.Table) -> Iterator[tuple]:
-    for batch in table.to_batches(5000):
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
-def _table(sf_dir: str, name: str) -> pa.Table:
-    found = ds.dataset(f"{sf_dir}/{name}.parquet").to_table().sort_by([(k, "ascending") for k in KEYS[name]])
-    cut = [(i, f) for i, f in enumerate(found.schema) if f.type == pa.string() and name in ("documents", "pages")]
-    for i, f in cut:
-        found = found.set_column(i, f, pa.compute.utf8_slice_codeunits(found[f.name], 0, CELL))
-    return found
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cut = [f.name for f in found.schema if f.dataType.simpleString() == "string" and name in ("documents", "pages")]
+    for c in cut:
+        found = found.withColumn(c, F.substring(c, 1, CELL))
+    return found.orderBy(*KEYS[name])
 
 
-def place(sf_dir: str) -> str:
-    out = os.path.join(os.environ.get("TMPDIR", "/tmp"), "sheetframe-fixtures", f"{os.path.basename(os.path.normpath(sf_dir))}-{VERSION}-{os.getuid()}")
+def place(spark: SparkSession, sf_dir: str) -> str:
+    """A folder that all executors see: in spark.checkpoint.dir where a cluster names one, else (tests, one machine) a temporary one that later sessions find again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    root = re.sub("^file:/*", "/", shared) if shared else tempfile.gettempdir()
+    if "://" in root:
+        raise ValueError("workbooks are written to a mounted folder; spark.checkpoint.dir is none")
+    out = os.path.join(root, "sheetframe-fixtures", f"{os.path.basename(os.path.normpath(sf_dir))}-{VERSION}-{os.getuid()}")
     os.makedirs(out, exist_ok=True)
     return out
 
 
-def workbook(sf_dir: str, *tables: str, header: bool = True) -> str:
+def workbook(spark: SparkSession, sf_dir: str, *tables: str, header: bool = True) -> str:
     """A workbook with a sheet for each table, in the order of its key; written once and found again later."""
-    path = f"{place(sf_dir)}/{'-'.join(tables)}{'' if header else '-bare'}.xlsx"
+    path = f"{place(spark, sf_dir)}/{'-'.join(tables)}{'' if header else '-bare'}.xlsx"
     if not os.path.exists(path):
-        sheets = []
-        for name in tables:
-            t = _table(sf_dir, name)
-            sheets.append((name, t.column_names if header else None, _rows(t)))
-        write_xlsx(path, sheets)
+        frames = {name: _rows(spark, sf_dir, name) for name in tables}
+        write_xlsx(path, [(n, f.columns if header else None, f.toLocalIterator(prefetchPartitions=True)) for n, f in frames.items()])
     return path
 
 

@@ -55,7 +55,7 @@ SELECT["events"] = "* REPLACE (date_trunc('milliseconds', ts) AS ts)"
 def _scan(table: str) -> None:
     @query(f"SELECT {SELECT[table]} FROM {table}", f"scan_{table}")
     def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return load(spark, X.workbook(sf_dir, table))
+        return load(spark, X.workbook(spark, sf_dir, table))
 
 
 for _t in INTS:
@@ -65,12 +65,12 @@ for _t in INTS:
 @query(f"SELECT {SELECT['lineitem']} FROM lineitem")
 def scan_seven_splits(spark, sf_dir):
     """The rows don't depend on where the sheet is cut."""
-    return load(spark, X.workbook(sf_dir, "lineitem"), splits=7)
+    return load(spark, X.workbook(spark, sf_dir, "lineitem"), splits=7)
 
 
 @query("SELECT l_orderkey, l_shipdate FROM lineitem")
 def scan_columns(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "lineitem"), columns=["l_orderkey", "l_shipdate"])
+    return load(spark, X.workbook(spark, sf_dir, "lineitem"), columns=["l_orderkey", "l_shipdate"])
 
 
 @query("SELECT r_name, count(*) AS n FROM region GROUP BY r_name")
@@ -79,51 +79,51 @@ def scan_format_api(spark, sf_dir):
     from .sources.xlsx import register
 
     register(spark)
-    return spark.read.format("xlsx").option("sheetName", "region").load(X.workbook(sf_dir, "nation", "region")).groupBy("r_name").agg(F.count("*").alias("n"))
+    return spark.read.format("xlsx").option("sheetName", "region").load(X.workbook(spark, sf_dir, "nation", "region")).groupBy("r_name").agg(F.count("*").alias("n"))
 
 
 # ---- sheets ----
 
 @query(f"SELECT {SELECT['region']} FROM region")
 def sheet_by_name(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "nation", "region"), sheet_name="region")
+    return load(spark, X.workbook(spark, sf_dir, "nation", "region"), sheet_name="region")
 
 
 @query(f"SELECT {SELECT['region']} FROM region")
 def sheet_by_idx(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "nation", "region"), sheet_idx=1)
+    return load(spark, X.workbook(spark, sf_dir, "nation", "region"), sheet_idx=1)
 
 
 @query(f"SELECT {SELECT['nation']} FROM nation")
 def sheet_default(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "nation", "region"))
+    return load(spark, X.workbook(spark, sf_dir, "nation", "region"))
 
 
 @query(f"SELECT {SELECT['nation']} FROM nation")
 def sheet_name_beats_idx(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "nation", "region"), sheet_name="nation", sheet_idx=1)
+    return load(spark, X.workbook(spark, sf_dir, "nation", "region"), sheet_name="nation", sheet_idx=1)
 
 
 @query("SELECT * FROM (VALUES (0, 'nation'), (1, 'region')) AS v(idx, name)")
 def sheet_names(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(Workbook.open(X.workbook(sf_dir, "nation", "region")).sheet_names())), "idx int, name string")
+    return spark.createDataFrame(list(enumerate(Workbook.open(X.workbook(spark, sf_dir, "nation", "region")).sheet_names())), "idx int, name string")
 
 
 @query(f"SELECT {SELECT['region']} FROM region")
 def select_sheet(spark, sf_dir):
-    return R.read_xlsx(X.workbook(sf_dir, "nation", "region"), spark=spark).select_sheet("region").df
+    return R.read_xlsx(X.workbook(spark, sf_dir, "nation", "region"), spark=spark).select_sheet("region").df
 
 
 # ---- header, skipped rows, batches ----
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS col_0, n_name AS col_1, CAST(n_regionkey AS BIGINT) AS col_2 FROM nation")
 def no_header(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "nation", header=False), header=False)
+    return load(spark, X.workbook(spark, sf_dir, "nation", header=False), header=False)
 
 
 @query("SELECT 'n_nationkey' AS col_0, 'n_name' AS col_1, 'n_regionkey' AS col_2 UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation")
 def no_header_mixed(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "nation"), header=False)
+    return load(spark, X.workbook(spark, sf_dir, "nation"), header=False)
 
 
 _ORDERED = "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders"
@@ -131,39 +131,39 @@ _ORDERED = "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey
 
 @query(f"SELECT o_orderkey, o_custkey FROM ({_ORDERED}) WHERE rn NOT IN (1, 2, 5, 100)")
 def skip_rows(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "orders"), skip_rows=[1, 2, 5, 100]).select("o_orderkey", "o_custkey")
+    return load(spark, X.workbook(spark, sf_dir, "orders"), skip_rows=[1, 2, 5, 100]).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def skip_header_noop(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "orders"), skip_rows=[0]).select("o_orderkey", "o_custkey")
+    return load(spark, X.workbook(spark, sf_dir, "orders"), skip_rows=[0]).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS col_0, n_name AS col_1 FROM nation WHERE n_nationkey NOT IN (0, 3)")
 def skip_rows_no_header(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "nation", header=False), header=False, skip_rows=[0, 3]).select("col_0", "col_1")
+    return load(spark, X.workbook(spark, sf_dir, "nation", header=False), header=False, skip_rows=[0, 3]).select("col_0", "col_1")
 
 
 @query(f"SELECT (rn - 1) // 700 AS batch, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM ({_ORDERED}) GROUP BY 1")
 def batch_sizes(spark, sf_dir):
-    df = load(spark, X.workbook(sf_dir, "orders"), batch_size=700, metadata=True, splits=3)
+    df = load(spark, X.workbook(spark, sf_dir, "orders"), batch_size=700, metadata=True, splits=3)
     return df.groupBy(F.col("_batch_id").alias("batch")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
 @query("SELECT CAST(ceil(count(*) / 700.0) AS BIGINT) AS n_batches FROM orders")
 def batch_count(spark, sf_dir):
-    return R.count_batches(load(spark, X.workbook(sf_dir, "orders"), batch_size=700, metadata=True))
+    return R.count_batches(load(spark, X.workbook(spark, sf_dir, "orders"), batch_size=700, metadata=True))
 
 
 @query("SELECT CAST(ceil((count(*) - 2) / 7.0) AS BIGINT) AS n_batches FROM nation")
 def batch_count_skip(spark, sf_dir):
-    r = R.read_xlsx(X.workbook(sf_dir, "nation"), 7, skip_rows=[2, 4], spark=spark)
+    r = R.read_xlsx(X.workbook(spark, sf_dir, "nation"), 7, skip_rows=[2, 4], spark=spark)
     return spark.createDataFrame([(len(r),)], "n_batches long")
 
 
 @query(f"SELECT o_orderkey, (rn - 1) // 50 AS batch FROM ({_ORDERED}) WHERE rn <= 500")
 def batch_preview(spark, sf_dir):
-    df = R.preview(load(spark, X.workbook(sf_dir, "orders"), batch_size=50, metadata=True), 10)
+    df = R.preview(load(spark, X.workbook(spark, sf_dir, "orders"), batch_size=50, metadata=True), 10)
     return df.select("o_orderkey", F.col("_batch_id").alias("batch"))
 
 
@@ -171,14 +171,14 @@ def batch_preview(spark, sf_dir):
 def batch_iteration(spark, sf_dir):
     """The iterator's batches, summed up one by one."""
     n = total = 0
-    for batch in R.read_xlsx(X.workbook(sf_dir, "nation"), 10, spark=spark):
+    for batch in R.read_xlsx(X.workbook(spark, sf_dir, "nation"), 10, spark=spark):
         n, total = n + batch.num_rows, total + sum(batch.column("n_nationkey").to_pylist())
     return spark.createDataFrame([(n, total)], "n long, total long")
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS sheet_row, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS ord, o_orderkey FROM orders")
 def row_numbers(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "orders"), metadata=True, splits=5).select(F.col("_row").alias("sheet_row"), F.col("_ord").alias("ord"), "o_orderkey")
+    return load(spark, X.workbook(spark, sf_dir, "orders"), metadata=True, splits=5).select(F.col("_row").alias("sheet_row"), F.col("_ord").alias("ord"), "o_orderkey")
 
 
 # ---- types ----
@@ -186,7 +186,7 @@ def row_numbers(spark, sf_dir):
 @query("""SELECT * FROM (VALUES ('l_orderkey', 'bigint'), ('l_partkey', 'bigint'), ('l_suppkey', 'bigint'), ('l_linenumber', 'bigint'), ('l_quantity', 'bigint'), ('l_extendedprice', 'double'),
 ('l_discount', 'double'), ('l_tax', 'double'), ('l_returnflag', 'string'), ('l_linestatus', 'string'), ('l_shipdate', 'timestamp_ntz')) AS v(name, type)""")
 def inferred_types(spark, sf_dir):
-    df = load(spark, X.workbook(sf_dir, "lineitem"))
+    df = load(spark, X.workbook(spark, sf_dir, "lineitem"))
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "name string, type string")
 
 
@@ -205,12 +205,12 @@ def inferred_types_by_batch(spark, sf_dir):
 @query("""SELECT 0 AS row, i AS col, 'string' AS kind, n AS value FROM (VALUES (0, 'n_nationkey'), (1, 'n_name'), (2, 'n_regionkey')) AS v(i, n)
 UNION ALL SELECT n_nationkey + 1, 0, 'int', CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT n_nationkey + 1, 1, 'string', n_name FROM nation UNION ALL SELECT n_nationkey + 1, 2, 'int', CAST(n_regionkey AS VARCHAR) FROM nation""")
 def cells_long(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "nation"), mode="cells").select(F.col("row").cast("int").alias("row"), "col", "kind", "value")
+    return load(spark, X.workbook(spark, sf_dir, "nation"), mode="cells").select(F.col("row").cast("int").alias("row"), "col", "kind", "value")
 
 
 @query("SELECT o_orderkey, o_orderdate, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders")
 def date_columns(spark, sf_dir):
-    return load(spark, X.workbook(sf_dir, "orders")).select("o_orderkey", "o_orderdate", F.year("o_orderdate").cast("long").alias("y"), F.month("o_orderdate").cast("long").alias("m"))
+    return load(spark, X.workbook(spark, sf_dir, "orders")).select("o_orderkey", "o_orderdate", F.year("o_orderdate").cast("long").alias("y"), F.month("o_orderdate").cast("long").alias("m"))
 
 
 _STYLES = '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy-mm-dd"/><numFmt numFmtId="165" formatCode="0.00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="14"/><xf numFmtId="165"/></cellXfs></styleSheet>'
@@ -332,18 +332,18 @@ def wide_rows(spark, sf_dir):
 
 @query(f"SELECT {SELECT['customer']} FROM customer")
 def csv_roundtrip(spark, sf_dir):
-    df = load(spark, X.workbook(sf_dir, "customer"))
+    df = load(spark, X.workbook(spark, sf_dir, "customer"))
     return spark.read.schema(df.schema).csv(sinks.write_csv(df, f"{temporary()}/customer"), header=True)
 
 
 @query(f"SELECT {SELECT['orders']} FROM orders")
 def parquet_roundtrip(spark, sf_dir):
-    return spark.read.parquet(sinks.write_parquet(load(spark, X.workbook(sf_dir, "orders")), f"{temporary()}/orders"))
+    return spark.read.parquet(sinks.write_parquet(load(spark, X.workbook(spark, sf_dir, "orders")), f"{temporary()}/orders"))
 
 
 @query(f"SELECT {SELECT['supplier']} FROM supplier")
 def workbook_roundtrip(spark, sf_dir):
-    df = load(spark, X.workbook(sf_dir, "supplier"))
+    df = load(spark, X.workbook(spark, sf_dir, "supplier"))
     return load(spark, sinks.write_workbook(df, f"{temporary()}/supplier.xlsx"))
 
 
@@ -362,7 +362,7 @@ _streams = iter(range(1 << 30))
 
 @query(f"SELECT {SELECT['orders']} FROM orders")
 def stream_available_now(spark, sf_dir):
-    return drain(stream_sheet(spark, X.workbook(sf_dir, "orders"), splits=3), f"sheet_{next(_streams)}")
+    return drain(stream_sheet(spark, X.workbook(spark, sf_dir, "orders"), splits=3), f"sheet_{next(_streams)}")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name, CAST(n_regionkey AS BIGINT) FROM nation")
@@ -372,7 +372,7 @@ def scan_directory(spark, sf_dir):
 
     place = temporary()
     for i in range(2):
-        shutil.copy(X.workbook(sf_dir, "nation"), f"{place}/{i}.xlsx")
+        shutil.copy(X.workbook(spark, sf_dir, "nation"), f"{place}/{i}.xlsx")
     return load(spark, place)
 
 
@@ -382,7 +382,7 @@ round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, cou
 
 @query(_Q1)
 def flagship_pricing_summary(spark, sf_dir):
-    df = load(spark, X.workbook(sf_dir, "lineitem"), columns=["l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"])
+    df = load(spark, X.workbook(spark, sf_dir, "lineitem"), columns=["l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"])
     return df.where("l_shipdate <= timestamp_ntz '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(
         F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
         F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("count_order"),
@@ -393,7 +393,7 @@ def flagship_pricing_summary(spark, sf_dir):
 def sheets_joined(spark, sf_dir):
     """Sheets are tables: what Spark can do with those, it can do with sheets."""
     for t in ("orders", "customer", "nation", "region"):
-        load(spark, X.workbook(sf_dir, t)).createOrReplaceTempView(f"sheet_{t}")
+        load(spark, X.workbook(spark, sf_dir, t)).createOrReplaceTempView(f"sheet_{t}")
     return spark.sql("SELECT r_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM sheet_orders JOIN sheet_customer ON o_custkey = c_custkey JOIN sheet_nation ON c_nationkey = n_nationkey JOIN sheet_region ON n_regionkey = r_regionkey GROUP BY r_name")
 
 
