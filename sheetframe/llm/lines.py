@@ -42,6 +42,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
     lost = lines.join(common, ["h1", "h2"]).where("id <> keeper").groupBy(F.col("id").alias("_id")).agg(F.collect_set("pos").alias("_lost"))
     joined = docs.join(lost, docs[key] == lost["_id"], "left").drop("_id")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    kept = F.when(F.col("_lost").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_lost", i)), "\n"))
+    # By hash sets of positions: in proportion to the lines, however many are lost.
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost")), lambda i: F.get("_lines", i))
+    kept = F.when(F.col("_lost").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(stay, "\n"))
     out = joined.withColumn("_lines", split).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.greatest(F.size("_lost"), F.lit(0)).cast("long"))
     return out.withColumn(text, kept).select(*docs.columns, "n_lines", "n_dropped")
