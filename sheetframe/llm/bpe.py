@@ -146,18 +146,16 @@ class Encoder(dict):
 
 
 def _schema(docs: DataFrame, added: dict[str, str]) -> str:
-    if clash := set(added) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{k}` {v}" for k, v in added.items())])
 
 
 def _mapped(docs: DataFrame, rank_table: dict[bytes, int], pattern: str, source: str, steps: tuple[str, ...], to: dict[str, str], keep: list[str] | None = None) -> DataFrame:
-    rows = docs if keep is None else docs.select(*keep)
+    rows = docs.select(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in to))  # earlier columns of these names are replaced
     schema = _schema(rows, to)
     C.small_arrow(docs.sparkSession)
     # A vocabulary's size is fixed (under a few MB), whatever the data.
     held = docs.sparkSession.sparkContext.broadcast(rank_table)
-    rows = docs.select(*(F.col(c) for c in rows.columns), F.col(source).alias("_bpe_source"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in rows.columns), F.col(source).alias(C.fresh(docs, "_source")))
     names = [*rows.columns[:-1], *to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -178,10 +178,9 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, text: str = "te
     """docs (or its columns `keep`) with weak_label (double, the label model's chance of good; its own votes only), quality_score (0 to 1) and kept.
 
     Null and empty texts are scored like any other, from the offset alone. One pass, no shuffle.
+    Columns of docs with the names of these three are replaced; repeated rows are scored each.
     """
-    keep = tuple(docs.columns) if keep is None else keep
-    if clash := {"weak_label", "quality_score", "kept"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in ("weak_label", "quality_score", "kept"))
     C.small_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,4 +190,4 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, text: str = "te
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(model.posterior(_votes(m))), pa.array(score), pa.array(score >= threshold)], names=[*keep, "weak_label", "quality_score", "kept"])
 
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "weak_label double", "quality_score double", "kept boolean"])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, fields)
+    return docs.select(*keep, F.col(text).alias(C.fresh(docs, "_text"))).mapInArrow(run, fields)

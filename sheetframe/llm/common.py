@@ -49,6 +49,13 @@ def small_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() is the quick way where all is ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

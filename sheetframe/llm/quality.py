@@ -105,12 +105,11 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None =
 
     Words are runs without white space ([\\x20\\x09-\\x0D]); everything is exact over the whole text, whatever
     its length. Null is measured as the empty text: all measurements are 0. Repeated rows are measured each.
+    Columns of docs with names of MEASURES are replaced.
     """
-    keep = tuple(docs.columns) if keep is None else keep
-    if clash := set(MEASURES) & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in MEASURES)
     C.small_arrow(docs.sparkSession)
-    source = docs.select(*(F.col(c) for c in keep), F.col(text).alias("_measured_text"))
+    source = docs.select(*(F.col(c) for c in keep), F.col(text).alias(C.fresh(docs, "_text")))
     names = [*keep, *MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

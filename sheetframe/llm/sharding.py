@@ -26,15 +26,15 @@ def byte_shards(rows: DataFrame, n_shards: int, size: str = "size", order: tuple
     middle lies, so each shard's bytes differ from an equal share by less than one row's size at either end.
     Nulls in `order` come first; rows that are equal in it keep some order among them, each with its own slot.
     No rows give no rows; with fewer rows than shards, or a row larger than a share, some shards stay empty.
-    Null sizes count 0. All columns of rows stay; `shard` and `slot` must not be among them.
+    Null sizes count 0. All columns of rows stay, but those named shard or slot, which the result's own replace.
     """
-    if clash := {"shard", "slot", "_tie", "_part", "_begin", "_row"} & set(rows.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
     n = n_partitions or partitions(rows.sparkSession)
-    sized = F.coalesce(F.col(size).cast("long"), F.lit(0))
-    # The tie breaker also spreads a key that many rows have over partitions.
-    by = [*(F.col(c) for c in order), F.col("_tie")]
-    placed = kept(rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()))
+    stay = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]
+    # The rows travel as one column, so that no name of theirs meets one of these. The tie breaker also spreads a key that many rows have over partitions.
+    packed = rows.select(F.struct(*stay).alias("row"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"), F.monotonically_increasing_id().alias("_tie"))
+    sized = F.col("s")
+    by = [*(F.col("row")[c] for c in order), F.col("_tie")]
+    placed = kept(packed.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()))
     totals = placed.groupBy("_part").agg(F.sum(sized).alias("b"), F.count("*").alias("r"))
     # One row for each partition, whatever the size of the data.
     over, before = Window.orderBy("_part"), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,4 +49,4 @@ def byte_shards(rows: DataFrame, n_shards: int, size: str = "size", order: tuple
     cut = F.least(F.lit(n_shards - 1), F.floor(middle / (2 * F.greatest(F.col("total"), F.lit(1))))).cast("int")
     run = run.withColumn("shard", cut)
     first = run.groupBy("shard").agg(F.min("_row").alias("_first"))  # n_shards rows
-    return run.join(F.broadcast(first), "shard").select(*(F.col(c) for c in rows.columns), "shard", (F.col("_row") - F.col("_first")).alias("slot"))
+    return run.join(F.broadcast(first), "shard").select("row.*", "shard", (F.col("_row") - F.col("_first")).alias("slot"))

@@ -225,9 +225,8 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", to: str = "toxi
     """docs with `to` (double, 0 to 1, higher is more toxic). Null and empty texts have no evidence and the lowest score.
 
     Whole texts are read, clause by clause; a clause reaches 400 characters to either side of a match. No shuffle.
+    A column of docs named `to` is replaced; repeated rows are scored each.
     """
-    if to in docs.columns:
-        raise ValueError(f"column {to} is taken")
     C.small_arrow(docs.sparkSession)
     x = F.log1p(_evidence_udf(lexicon)(F.col(text)))
     return docs.withColumn(to, 1 / (1 + F.exp(-(x * lexicon.slope + lexicon.offset))))
