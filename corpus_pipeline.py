@@ -18,7 +18,7 @@ from sheetframe.llm.queries import bpe_digests, table
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5; the labelled rows outside the held-out fifth teach the lexicon."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon, to="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    return toxicity.score(docs, lexicon, to="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
