@@ -50,6 +50,18 @@ def serial_to_timestamp(serial: Column) -> Column:
     return F.timestamp_micros(((days + shift) * 86_400_000 + ms) * 1000).cast("timestamp_ntz")
 
 
+def serial_parts(serial: Column) -> Column:
+    """A struct (year, month, day, hour, minute, second, ms) of a serial of 0 or more. Serial 60 is the day that the format has and the calendar has not, 29 February 1900; 0 is the day before 1 January 1900."""
+    v = serial.cast("double")
+    t = serial_to_timestamp(v)
+    leap, zero = (v >= 60) & (v < 61), (v >= 0) & (v < 1)
+    day = lambda part, on_leap, on_zero: F.when(leap, on_leap).when(zero, on_zero).otherwise(part(t)).cast("int")
+    return F.struct(
+        day(F.year, 1900, 1899).alias("year"), day(F.month, 2, 12).alias("month"), day(F.dayofmonth, 29, 31).alias("day"),
+        F.hour(t).alias("hour"), F.minute(t).alias("minute"), F.second(t).alias("second"), (F.date_format(t, "SSS").cast("int")).alias("ms"),
+    )
+
+
 _INT = r"^[+-]?[0-9]+$"
 _FLOAT = r"^(?i)[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^(?i)[+-]?(inf|infinity|nan)$"
 

@@ -239,6 +239,36 @@ def serial_to_ts(spark, sf_dir):
     return spark.range(9000).select(F.col("id").alias("i"), E.serial_to_timestamp(F.col("id") * 7.25 - 0.5).alias("ts"))
 
 
+@query("""SELECT i, CASE WHEN i = 60 THEN 1900 ELSE year(t) END AS y, CASE WHEN i = 60 THEN 2 ELSE month(t) END AS m, CASE WHEN i = 60 THEN 29 ELSE day(t) END AS d, hour(t) AS h, minute(t) AS mi, second(t) AS s
+FROM (SELECT i, TIMESTAMP '1899-12-30' + to_days(CAST(CASE WHEN i > 60 THEN i WHEN i >= 1 THEN i + 1 ELSE i END AS INTEGER)) + to_milliseconds(21610000) AS t FROM range(1, 3000) AS r(i))""")
+def serial_parts(spark, sf_dir):
+    """Serials a quarter of a day and ten seconds into each day, by calendar part."""
+    df = spark.range(1, 3000).withColumn("p", E.serial_parts(F.col("id") + F.lit(21610.0) / 86400))
+    return df.select(F.col("id").alias("i"), *(F.col(f"p.{a}").cast("long").alias(b) for a, b in (("year", "y"), ("month", "m"), ("day", "d"), ("hour", "h"), ("minute", "mi"), ("second", "s"))))
+
+
+@query("SELECT n_nationkey AS k, CAST(n_nationkey AS VARCHAR) AS a, CASE WHEN n_nationkey > 4 THEN 'true' ELSE 'false' END AS b, '' AS c FROM nation")
+def value_as_text(spark, sf_dir):
+    k = F.col("n_nationkey")
+    return load(spark, X.workbook(spark, sf_dir, "nation")).select(k.cast("int").alias("k"), E.as_text(k).alias("a"), E.as_text(k > 4).alias("b"), E.as_text(F.lit(None)).alias("c"))
+
+
+@query("SELECT * FROM (VALUES (0, false), (1, true), (2, true), (3, false)) AS v(style, is_date)")
+def style_dates(spark, sf_dir):
+    """The cell styles of a workbook and whether they show dates."""
+    book = Workbook.open(X.micro("styles", {"Sheet1": _head(("a", ""))}, styles=_STYLES))
+    return spark.createDataFrame(list(enumerate(book.date_styles())), "style int, is_date boolean")
+
+
+@query("SELECT * FROM (VALUES (0, 'A', 'xl/worksheets/sheet1.xml'), (1, 'R&D', 'xl/worksheets/sheet2.xml')) AS v(idx, name, part)")
+def relationships(spark, sf_dir):
+    """Sheets and the parts that their relationships lead to; a hidden sheet is a sheet."""
+    book = '<workbook xmlns:r="r"><sheets><sheet name="A" sheetId="1" r:id="rId1"/><sheet name="R&amp;D" sheetId="2" state="hidden" r:id="rId2"/><sheet name="lost" sheetId="3" r:id="rId9"/></sheets></workbook>'
+    rels = '<Relationships><Relationship Id="rId1" Target="/xl/worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>'
+    found = Workbook.open(X.micro("rels", {"A": "", "B": ""}, workbook=book, rels=rels))
+    return spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(found.sheets)], "idx int, name string, part string")
+
+
 _CODES = ["yyyy-mm-dd", "[$-409]d-mmm-yy", "0.00", "#,##0", '"USD"', "mm:ss.000", "General", "HH:MM", "@", "[Red]@"]
 
 
