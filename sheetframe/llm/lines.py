@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ascii_strip
+from .common import ascii_lower, ascii_strip, kept
+
+#: A checked bound of a broadcast, in repeated lines (24 bytes each).
+BROADCAST_LINES = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -18,32 +21,35 @@ def line_key(line: Column) -> Column:
     return ascii_lower(ascii_strip(line))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = 40, min_docs: int = 5, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """docs with `text` rewritten, and n_lines, n_dropped (long) added.
 
     A key of min_chars code points or more that occurs in min_docs documents (distinct values of `key`) or more
     loses all its lines but those of the largest `key` that has it. The others stay, in their order, joined by
     newlines. Null and empty texts are one empty line and become empty. Rows whose `key` is null are no document:
     they lose nothing and count for nothing. Repeated rows with one `key` are one document and are all rewritten.
+    Columns of docs named n_lines or n_dropped are replaced.
     """
-    if clash := {"n_lines", "n_dropped", "_lost", "_lines"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     lines = source.select("id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     lines = lines.where(F.length("line") >= min_chars).select("id", "pos", line_key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
     # Two chained 64-bit hashes with different seeds: 128 bits together.
     lines = lines.select("id", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
-    common = (
+    common = kept(
         lines.select("h1", "h2", "id").distinct()
         .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
     )
     # Repeated rows of a document give a position twice; the set has it once.
-    lost = lines.join(common, ["h1", "h2"]).where("id <> keeper").groupBy(F.col("id").alias("_id")).agg(F.collect_set("pos").alias("_lost"))
-    joined = docs.join(lost, docs[key] == lost["_id"], "left").drop("_id")
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    few = common.limit(broadcast_lines + 1).count() <= broadcast_lines  # else Spark splits the lines of a hot key
+    lost = lines.join(F.broadcast(common) if few else common, ["h1", "h2"]).where("id <> keeper").groupBy("id").agg(F.collect_set("pos").alias("_lost"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    out = rows.join(lost, "id", "left").withColumn("_lines", F.split("t", "\n"))
     # By hash sets of positions: in proportion to the lines, however many are lost.
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost")), lambda i: F.get("_lines", i))
-    kept = F.when(F.col("_lost").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(stay, "\n"))
-    out = joined.withColumn("_lines", split).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.greatest(F.size("_lost"), F.lit(0)).cast("long"))
-    return out.withColumn(text, kept).select(*docs.columns, "n_lines", "n_dropped")
+    rewritten = F.when(F.col("_lost").isNull(), F.col("t")).otherwise(F.array_join(stay, "\n"))
+    return out.select(
+        *(rewritten.alias(c) if c == text else F.col("row")[c].alias(c) for c in columns),
+        F.size("_lines").cast("long").alias("n_lines"), F.greatest(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
