@@ -24,9 +24,8 @@ BROADCAST_PLACES = 50_000
 
 
 def tokens(text: Column) -> Column:
-    """64-bit hashes of the lower-cased runs of letters and digits."""
-    parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(parts, lambda w: F.xxhash64(w))
+    """The lower-cased runs of letters and digits."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _seeds(rows: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
@@ -52,22 +51,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     if any(len(m) != span for m in masks):
         raise ValueError("all masks need one span")
     items = benchmark.select(F.col(item_key).cast("long").alias("item"), tokens(F.col(item_text)).alias("h")).where(F.col("item").isNotNull() & (F.size("h") >= span))
-    items = items.withColumn("form", F.xxhash64("h")).dropDuplicates(["item", "form"])  # an id may have several texts
+    items = items.withColumn("form", F.xxhash64(F.array_join("h", " "))).dropDuplicates(["item", "form"])  # an id may have several texts
     seeds = _seeds(items, masks, "item", "form").withColumnRenamed("pos", "item_pos")
     small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    rows = docs.select(F.col(key).alias("_key"), tokens(F.col(text)).alias("h")).where(F.col("_key").isNotNull() & (F.size("h") >= span))
-    hits = _seeds(rows, masks, "_key").join(F.broadcast(seeds) if small else seeds, "seed")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("t")).where("_key is not null and t is not null")
+    hits = _seeds(texts.select("_key", tokens(F.col("t")).alias("h")), masks, "_key").join(F.broadcast(seeds) if small else seeds, "seed")
     # One row for each alignment that a seed fixes; the many hits of one passage meet in partial aggregates.
     places = kept(hits.select("_key", "item", "form", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     few = places.limit(broadcast_places + 1).count() <= broadcast_places
     known = items.select("item", "form", F.col("h").alias("item_h"))
     places = places.join(F.broadcast(known) if small else known, ["item", "form"])
+    # Only texts with an alignment are read as tokens again.
+    found_keys = places.select("_key").distinct()
+    rows = texts.join(F.broadcast(found_keys) if few else found_keys, "_key", "left_semi").select("_key", tokens(F.col("t")).alias("h"))
     hits = rows.join(F.broadcast(places) if few and small else places, "_key")
     # The part of the text that lies along the item, null where the text has ended or not begun.
     shift = F.col("shift")
     size = F.size("item_h")
     own = F.slice("h", F.greatest(shift, F.lit(0)) + 1, size + F.least(shift, F.lit(0)))
-    own = F.concat(F.array_repeat(F.lit(None).cast("long"), F.greatest(-shift, F.lit(0))), own)
+    own = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-shift, F.lit(0))), own)
     equal = F.zip_with("item_h", own, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
     hits = hits.select("_key", "item", "shift", size.alias("n"), F.slice(equal, 1, size).alias("eq"))
     wide = F.least(F.col("n"), F.lit(stretch))
