@@ -152,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 pairs = set(_features(t))
                 in_docs.update({f for f, _ in pairs})
                 seen |= pairs
-            once = set()
-            rows = [(f, a, 0 if f in once else (once.add(f), in_docs[f])[1]) for f, a in seen]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "around", "docs"])
+            pairs = list(seen)
+            docs = [in_docs.pop(f, 0) for f, _ in pairs]  # a word's documents stand by one of its surroundings
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([a for _, a in pairs], pa.int64()), pa.array(docs, pa.int64())], names=["f", "around", "docs"])
 
     counts = {bool(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(True, 0), counts.get(False, 0)
@@ -179,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     strong = sorted(((w, f) for f, w in strength.items() if w >= 2.5), reverse=True)[:LEXICON]
     for w, f in strong:
         (base.prefixes if f.endswith("*") else base.words)[f.rstrip("*")] = w
-    for w in INSULTS:  # a fixed word that the labels clear is dropped
-        if w in toxic and w not in {f for _, f in strong}:
+    proven = {f for _, f in strong}
+    for w in INSULTS:  # a fixed word that is frequent without being a sign of toxic texts is dropped
+        if w in toxic and w not in proven:
             base.words.pop(w, None)
 
     # The curve: one-dimensional logistic regression on the sample's evidence, summed up by rounded evidence.
