@@ -64,10 +64,54 @@ def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), n.astype(np.int64)
 
 
-def _counted(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    one, _, two, _ = ngrams(buf, offsets)
-    both = np.concatenate([one, two])
-    return summed(both, np.ones(len(both), np.int64))
+def tallied(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs."""
+    every = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    if not len(every):
+        return every, np.zeros(0, np.int64)
+    first = np.concatenate([[0], np.flatnonzero(every[1:] != every[:-1]) + 1])
+    return every[first], np.diff(first, append=len(every))
+
+
+class Tally:
+    """Counts of n-grams; raw ones are held up to LIMIT, then counted and merged."""
+
+    LIMIT = 4_000_000
+
+    def __init__(self):
+        self.raw, self.size, self.runs = [], 0, []
+
+    def add(self, buf: np.ndarray, offsets: np.ndarray) -> None:
+        for a, b in C.chunks(offsets):
+            one, _, two, _ = ngrams(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            self.raw += [one, two]
+            self.size += len(one) + len(two)
+            if self.size > self.LIMIT:
+                self.settle()
+
+    def settle(self) -> None:
+        self.runs.append(tallied(self.raw))
+        self.raw, self.size = [], 0
+        if len(self.runs) > 4:
+            self.runs = [summed(*(np.concatenate(x) for x in zip(*self.runs, strict=True)))]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
+        return self.runs[0] if len(self.runs) == 1 else summed(*(np.concatenate(x) for x in zip(*self.runs, strict=True)))
+
+
+#: Beyond so many blocks, they are numbered instead of labelled, and Spark's hash deals them a little unevenly.
+MAX_LABELS = 20_000
+
+
+def block_labels(spark, n: int) -> list[int]:
+    """One int for each of n hash partitions, which Spark's partitioning puts there: n rows."""
+    rows, size = [], 16 * n + 64
+    while len(rows) < n:
+        ids = spark.range(size).select(F.col("id").cast("int").alias("id"))
+        rows = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
+        size *= 2
+    return [r["id"] for r in rows]
 
 
 def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", blocks: int | None = None) -> DataFrame:
@@ -80,29 +124,21 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", blocks: int
     spark = docs.sparkSession
     C.small_arrow(spark)
     n_blocks = blocks or C.partitions(spark)
-    # One deal for both passes over the texts. Rows with one key are spread by their text.
-    dealt = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks)).cast("int")).repartitionById(n_blocks, "block")
+    # One deal for both passes over the texts: Spark finds the exchange of the second to be that of the first. Rows with one key are spread by their text.
+    turn = F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks)).cast("int")
+    label = F.get(F.array(*map(F.lit, block_labels(spark, n_blocks))), turn) if n_blocks <= MAX_LABELS else turn
+    dealt = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("block", label).repartition(n_blocks, "block")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def merge(block: int) -> None:
-            parts = held[block]
-            held[block] = [summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-
+        held: dict[int, Tally] = {}
         for batch in batches:
             own = batch.column(2).to_numpy()
-            for block in np.unique(own).tolist():
-                col = batch.column(1) if len(np.unique(own)) == 1 else batch.column(1).filter(pa.array(own == block))
-                buf, offsets = C.text_bytes(col)
-                for a, b in C.chunks(offsets):
-                    held.setdefault(block, []).append(_counted(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                if len(held[block]) > 16:
-                    merge(block)
-        for block in held:
-            merge(block)
-            keys, n = held[block][0]
-            held[block] = []
+            found = np.unique(own).tolist()
+            for block in found:
+                col = batch.column(1) if len(found) == 1 else batch.column(1).filter(pa.array(own == block))
+                held.setdefault(block, Tally()).add(*C.text_bytes(col))
+        for block in list(held):
+            keys, n = held.pop(block).counts()
             # Hash ranges of equal width are the partitions of the count table.
             cuts = np.searchsorted(keys, np.array([(i << 64) // n_blocks for i in range(1, n_blocks)], np.uint64))
             for part, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(n, cuts), strict=True)):
@@ -132,13 +168,10 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", blocks: int
         if isinstance(ids, pa.ChunkedArray):
             ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], ids.type)
         buf, offsets = C.text_bytes(texts)
-        parts = []
         # The block's own counts again, and over them the totals of what others have too.
-        for a, b in C.chunks(offsets):
-            parts.append(_counted(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-            if len(parts) > 16:
-                parts = [summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-        keys, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        tally = Tally()
+        tally.add(buf, offsets)
+        keys, n = tally.counts()
         for k, whole in known:
             n[np.searchsorted(keys, k)] = whole
         out = [[], [], []]
@@ -161,10 +194,16 @@ def _scored(buf: np.ndarray, offsets: np.ndarray, keys: np.ndarray, totals: np.n
     n = len(offsets) - 1
 
     def others(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Counts of all documents less this one's."""
-        pairs = C.mix(of.astype(np.uint64) + np.uint64(1)) ^ hashes
-        _, back, own = np.unique(pairs, return_inverse=True, return_counts=True)
-        return totals[np.searchsorted(keys, hashes)] - own[back]
+        """Counts of all documents less this one's. One stable sort by hash leaves a text's equal n-grams side by side."""
+        order = np.argsort(hashes, kind="stable")
+        h, d = hashes[order], of[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        own = np.concatenate([[True], new[1:] | (d[1:] != d[:-1])])
+        first = np.flatnonzero(own)
+        total = totals[np.searchsorted(keys, h[new])][np.cumsum(new)[first] - 1]
+        out = np.empty(len(h), np.int64)
+        out[order] = np.repeat(total - np.diff(first, append=len(h)), np.diff(first, append=len(h)))
+        return out
 
     f1 = others(one, doc) if len(one) else np.zeros(0, np.int64)
     f2 = np.zeros(len(one), np.int64)  # of the bigram that ends at a word
