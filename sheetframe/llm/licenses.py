@@ -83,6 +83,22 @@ def known_digests(spark, known=KNOWN) -> DataFrame:
     return spark.createDataFrame(list(known), "license string, t string").select("license", digest(canonical).alias("digest"), F.length(canonical).alias("size")).where("size > 0").dropDuplicates(["license", "digest"])
 
 
+def first_words(known=KNOWN) -> list[str]:
+    """All words that a folded unit can begin with if its canonical form is that of a known text."""
+    import regex
+
+    out = set()
+    for _, text in known:
+        words = regex.findall(r"[\p{L}\p{N}]+", regex.sub(COPYRIGHT_LINE, "", text.lower()))
+        begin = reduce(lambda t, s: t.replace(f" {s[0]} ", f" {s[1]} "), SPELLINGS, f" {' '.join(words)} ").split()
+        out |= set(begin[:1])
+    size = 0
+    while size < len(out):
+        size = len(out)
+        out |= {a.split()[0] for a, b in SPELLINGS if b.split()[0] in out}
+    return sorted(out)
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known=KNOWN) -> DataFrame:
     """key, license, n_whole, n_blocks, n_lines (long): units of a text that are, entire, a known licence text.
 
@@ -92,13 +108,13 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known=KNOWN)
     """
     table = known_digests(docs.sparkSession, known)
     limit = SHRINK * max(len(t) for _, t in known)
-    rows = docs.select(F.col(key).alias("_key"), folded(F.col(text)).alias("f")).where(F.col("f").isNotNull())
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), folded(F.col(text)).alias("f"))
     lines = F.transform(F.split("f", "\n"), lambda x: F.struct(F.lit("line").alias("scope"), x.alias("u")))
     blocks = F.transform(F.filter(F.split("f", "\n *\n"), lambda x: F.contains(F.trim(x), F.lit("\n"))), lambda x: F.struct(F.lit("block").alias("scope"), x.alias("u")))
     whole = F.array(F.struct(F.lit("whole").alias("scope"), F.col("f").alias("u")))
     units = rows.select("_key", F.explode(F.concat(whole, blocks, lines)).alias("x")).select("_key", "x.scope", F.col("x.u").alias("u"))
-    # Letters in a unit: empty ones and those far longer than any known text can't match.
-    units = units.where((F.length("u") > 1) & (F.length("u") <= limit)).select("_key", "scope", digest(spelled(F.col("u"))).alias("digest"))
+    # Units that begin with another word than any spelling of a known text, or are far longer than all, can't match.
+    units = units.where(F.regexp_extract("u", r"^[ \n]*([^ \n]*)", 1).isin(first_words(known)) & (F.length("u") <= limit)).select("_key", "scope", digest(spelled(F.col("u"))).alias("digest"))
     hits = units.join(F.broadcast(table.select("license", "digest")), "digest")
     count = lambda s: F.count(F.when(F.col("scope") == s, 1))
     return hits.groupBy("_key", "license").agg(count("whole").alias("n_whole"), count("block").alias("n_blocks"), count("line").alias("n_lines")).withColumnRenamed("_key", key)
