@@ -29,9 +29,13 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out.select(*docs.columns)
 
 
+#: Near-duplicates of the pipeline: words of a shingle, and percent of all shingles that two texts must share. (op4's own are 3 and 90.)
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar texts, the document with the smallest id."""
-    groups = jaccard.similarity_components(docs)
+    groups = jaccard.similarity_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     ids = groups.where("component_id = doc_id").select("doc_id").distinct()
     return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
 

@@ -98,3 +98,24 @@ def test_pipeline(spark):
         docs = held
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    """Five words and 80 %: against brute force, and on a text that 3 words and 90 % would keep."""
+    import corpus_pipeline as P
+    from test_operators import brute_jaccard, near
+
+    base = [f"w{i}" for i in range(100)]
+    changed = [*base[:30], "x", *base[31:60], "y", *base[61:]]
+    docs = [(1, " ".join(base)), (2, " ".join(changed)), *((i + 3, t) for i, t in enumerate(near(5)))]
+    left = P.one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
+    want = {d for d, (_, c) in brute_jaccard(docs, 5, 80).items() if c == d}
+    assert sorted(r.doc_id for r in left) == sorted(want) and 2 not in want
+    assert {d for d, (_, c) in brute_jaccard(docs, 3, 90).items() if c == d} != want
+
+    held = table = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in P.STAGES:
+        before, held = held, stage(spark, held, SF).cache()
+        if name == "jaccard_join":
+            assert sorted(r.doc_id for r in held.collect()) == sorted(d for d, (_, c) in brute_jaccard([(r.doc_id, r.text) for r in before.collect()], 5, 80).items() if c == d)
+    assert table.count() > held.count() and sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, held.collect()))
