@@ -3,18 +3,28 @@
 A mask such as 1101101 looks at some of the tokens from a position on and ignores the others; two passages that
 differ in a token still agree under a mask that ignores it. Test items' masked hashes are joined with those of all
 texts; each hit fixes an alignment (text position minus item position), and along it text and item are compared
-token by token. A passage is found where enough tokens of a stretch are equal, whatever the others are.
+token by token. A passage is found where enough tokens of a stretch are equal, whatever the others are: the masks are
+chosen by the stretch's length such that every way of changing the tokens that may differ leaves one of them a hit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept
 
-#: Masks over consecutive tokens: 1 is compared, 0 ignored. All have one span. Two of three neighbours may differ under one or other.
+#: The masks of the SQL that checks this operator: 1 is compared, 0 ignored. They miss some passages; the operator takes FAMILIES.
 MASKS = ("11011011", "10110111", "11101101")
+#: (w, m): masks of which one fits somewhere in any w tokens with m of them changed, so also in more tokens with m changed and in
+#: w - k tokens with m - k changed. Found by search and proved by enumeration in the tests.
+FAMILIES = {
+    (16, 4): ("111011", "1100001011", "111000010001"), (12, 3): ("11101", "10111"), (10, 2): ("11101", "1111"), (8, 2): ("111", "1101"),
+    (5, 1): ("111", "1101"), (4, 1): ("111", "1101", "1011"),
+}
 #: Tokens of a stretch (the whole item if that is shorter), and percent of them that must be equal.
 STRETCH, PERCENT = 16, 75
 #: A checked bound of broadcasts, in seeds of the test items (some 100 bytes each).
@@ -28,31 +38,49 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def complete_masks(width: int, changed: int) -> tuple[str, ...]:
+    """Masks of which one fits somewhere in any `width` tokens with at most `changed` changed ones."""
+    if changed == 0 and width <= 5:
+        return ("1" * width,)
+    for (w, m), masks in FAMILIES.items():
+        if changed <= m and width - changed >= w - m or changed == m and width >= w:
+            if m - changed <= 1:  # else lighter than they need to be
+                return masks
+    return ("1" * ceil((width - changed) / (changed + 1)),)  # some run between changes is that long
+
+
 def _seeds(rows: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    """From rows with h (array of tokens): a row for each position and mask, with pos (0-based), seed and the columns kept. h itself is left behind: a long text must not be copied for each of its tokens."""
-    span = len(masks[0])
-    n = F.size("h")
-    shifted = [F.slice("h", F.lit(k + 1), F.greatest(n - span + 1, F.lit(0))).alias(f"w{k}") for k in range(span)]
+    """From rows with h (array of tokens): a row for each position and mask, with pos (0-based), seed and the columns kept; seed is null where the mask reaches over the end. h itself is left behind: a long text must not be copied for each of its tokens."""
+    offsets = [[k for k, x in enumerate(m) if x == "1"] for m in masks]
+    size = F.size("h")
+    shifted = [F.slice("h", F.lit(k + 1), F.greatest(size - k, F.lit(0))).alias(f"w{k}") for k in sorted({0}.union(*offsets))]
     at = rows.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
-    hashes = [F.xxhash64(F.lit(m), *(F.col(f"w.w{k}") for k in range(span) if mask[k] == "1")) for m, mask in enumerate(masks)]
+    hashes = [F.when(F.col(f"w.w{ks[-1]}").isNotNull(), F.xxhash64(F.lit(m), *(F.col(f"w.w{k}") for k in ks))) for m, ks in zip(masks, offsets, strict=True)]
     return at.select(*keep, "pos", F.explode(F.array(*hashes)).alias("seed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, stretch: int = STRETCH, percent: int = PERCENT, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", masks: tuple[str, ...] | None = None, stretch: int = STRETCH, percent: int = PERCENT, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """key, item, n_equal, n_tokens, first_token: one row for each text and item of which a passage was found.
 
     first_token is where the item's first token falls in the text (negative if the text starts inside the item),
     n_equal how many tokens of the whole item are equal there, of n_tokens. A passage counts if `percent` of `stretch`
-    consecutive item tokens (or of all, if the item has fewer) are equal. Of several places, the best is given, the
-    first of equals. Null and empty texts and items have no passages; items of fewer tokens than a mask's span have no
-    seeds and are never found. Rows with null keys are left out; repeated rows count once.
+    consecutive item tokens (or of all, if the item has fewer) are equal; every one is found, in items of any length,
+    unless `masks` names other masks than the complete ones. Of several places, the best is given, the first of equals.
+    Null and empty texts and items have no passages. Rows with null keys are left out; repeated rows count once.
     """
-    span = len(masks[0])
-    if any(len(m) != span for m in masks):
-        raise ValueError("all masks need one span")
-    items = benchmark.select(F.col(item_key).cast("long").alias("item"), tokens(F.col(item_text)).alias("h")).where(F.col("item").isNotNull() & (F.size("h") >= span))
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    items = benchmark.select(F.col(item_key).cast("long").alias("item"), tokens(F.col(item_text)).alias("h")).where(F.col("item").isNotNull() & (F.size("h") > 0))
     items = items.withColumn("form", F.xxhash64(F.array_join("h", " "))).dropDuplicates(["item", "form"])  # an id may have several texts
-    seeds = _seeds(items, masks, "item", "form").withColumnRenamed("pos", "item_pos")
+    # Items of one family of masks are those of some widths, at most `stretch` of them.
+    width = F.least(F.size("h"), F.lit(stretch))
+    families: dict[tuple[str, ...], list[int]] = {}
+    for (w,) in items.select(width).distinct().collect():
+        families.setdefault(tuple(masks or complete_masks(w, w - ceil(w * percent / 100))), []).append(w)
+    families = families or {("1",): []}
+    seeds = reduce(DataFrame.unionAll, [_seeds(items.where(width.isin(widths)), family, "item", "form") for family, widths in families.items()])
+    seeds = seeds.where("seed is not null").withColumnRenamed("pos", "item_pos")
+    masks = tuple(sorted({m for family in families for m in family}))
     small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("t")).where("_key is not null and t is not null")
     hits = _seeds(texts.select("_key", tokens(F.col("t")).alias("h")), masks, "_key").join(F.broadcast(seeds) if small else seeds, "seed")

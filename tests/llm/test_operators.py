@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -404,6 +405,46 @@ def test_masks_tolerate_any_one_substitution():
         assert any(all(m[k] == "0" or p + k != at for k in range(span)) for p in range(5) for m in decontam.MASKS)
 
 
+@pytest.mark.parametrize("percent", [50, 75, 90, 100])
+@pytest.mark.parametrize("width", range(1, 17))
+def test_masks_are_complete(width, percent):
+    """Some mask fits wherever as many tokens are changed as may be."""
+    changed = width - math.ceil(width * percent / 100)
+    masks = decontam.complete_masks(width, changed)
+    fits = lambda m, at, gone: at + len(m) <= width and not any(x == "1" and at + k in gone for k, x in enumerate(m))
+    for gone in itertools.combinations(range(width), changed):
+        assert any(fits(m, at, gone) for m in masks for at in range(width)), (masks, gone)
+
+
+def brute_passages(docs, items, stretch=16, percent=75):
+    out = {}
+    for (d, text), (i, item) in itertools.product(docs, items):
+        t, b = text.split(), item.split()
+        w = min(len(b), stretch)
+        for shift in range(-len(b), len(t)):
+            eq = [0 <= k + shift < len(t) and t[k + shift] == x for k, x in enumerate(b)]
+            if max(sum(eq[k : k + w]) for k in range(len(b) - w + 1)) * 100 >= w * percent and sum(eq) > out.get((d, i), (0, 0))[0]:
+                out[d, i] = (sum(eq), shift)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Items of 1 to 24 tokens, changed at random and at regular places: all that the rule names are found."""
+    rng = random.Random(3)
+    items = [(n, " ".join(f"i{n}t{k}" for k in range(n))) for n in range(1, 25)]
+    docs = [(10_000 + n, f"some other words i{n}t0 then") for n in range(1, 25)]
+    for n, text in items:
+        for every in (4, 5, 8):
+            docs.append((100 * n + every, " ".join("x" if k % every == every - 1 else w for k, w in enumerate(text.split()))))
+        for k in range(12):
+            words = ["x" if rng.random() < 0.2 else w for w in text.split()]
+            docs.append((100 * n + 20 + k, " ".join([*["pad"] * (k % 3), *words, "end"])))
+    found = decontam.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_passages(docs, items)
+    assert {(r.doc_id, r.item): (r.n_equal, r.first_token) for r in found} == want and len(found) == len(want)
+    assert {(2404, 24), (1604, 16), (708, 7)} <= set(want)
+
+
 # ---- columns whose names clash ----
 
 CLASH = "shard slot _tie _part row s total b b_before n_lines n_dropped _lost _lines id t lines h1 h2 keeper pos n_words failed_bits kept ids decoded toxicity weak_label quality_score component_id n_shingles rep c d1 d2 n lm_score n_backed_off block license digest item h seed shift form _key _text".split()
