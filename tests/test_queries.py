@@ -32,3 +32,12 @@ def test_query(spark, duck, name):
     assert cols == sorted(names)
     expected = norm(tuple(r[names.index(c)] for c in cols) for r in want.fetchall())
     assert norm(tuple(r[c] for c in cols) for r in df.collect()) == expected
+
+
+@pytest.mark.parametrize(("sf", "name", "key", "text", "longest"), [("sf0.01", "documents", "doc_id", "text", 33_047), ("sf0.1", "pages", "page_id", "html", 60_113)])
+def test_whole_texts(spark, sf, name, key, text, longest):
+    """Texts longer than a cell of Excel are written and read to their ends."""
+    place = f"/root/testdata/{sf}"
+    want = {r[key]: r[text] for r in spark.read.parquet(f"{place}/{name}.parquet").collect()}
+    rows = Q.queries()[f"scan_{name}"](spark, place).collect()
+    assert max(map(len, want.values())) == longest and len(rows) == len(want) and {r[key]: r[text] for r in rows} == want
