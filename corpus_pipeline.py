@@ -34,10 +34,14 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar texts, the document with the smallest id."""
+    """Of each component of similar texts, the document with the smallest id.
+
+    Rows of one id are one document: they stay or go together, and stay if any of their texts leads its component. Rows
+    without an id are similar to nothing and stay.
+    """
     groups = jaccard.similarity_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    ids = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    gone = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("_leads")).where("not _leads").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,3 +119,13 @@ def test_near_duplicates_of_the_pipeline(spark):
         if name == "jaccard_join":
             assert sorted(r.doc_id for r in held.collect()) == sorted(d for d, (_, c) in brute_jaccard([(r.doc_id, r.text) for r in before.collect()], 5, 80).items() if c == d)
     assert table.count() > held.count() and sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_near_duplicates_without_and_with_repeated_ids(spark):
+    """Rows without an id stay; rows of one id stay or go together."""
+    import corpus_pipeline as P
+
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = [(1, text), (1, text), (2, text), (2, text), (None, text), (None, text), (None, None), (3, None), (4, text), (4, other)]
+    left = P.one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([docs[0], docs[1], *docs[4:]], key=str)
