@@ -7,7 +7,9 @@ each line - are then hashed and joined with the known digests. The known table i
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,11 +101,44 @@ def first_words(known=KNOWN) -> list[str]:
     return sorted(out)
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known=KNOWN) -> DataFrame:
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """KNOWN, and the usual full texts with their variants: with a title, as one list or with space between its items, without what follows the terms."""
+    out = list(KNOWN)
+    texts = [(p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))]
+    # In these, the items of the list stand apart in some copies and close together in others.
+    texts += [(n, re.sub(r"\n(?=[0-9]\. )", "\n\n", t)) for n, t in texts if n.startswith("BSD-")]
+    texts += [(n, t.replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS")) for n, t in texts if n.startswith("BSD-")]
+    texts += [(n, re.sub(r"(?m)^[0-9]\. ", "* ", t)) for n, t in texts if n.startswith("BSD-")]
+    for name, text in texts:
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        out += [(name, text)] + ([(name, text[: end.end()]), (name, text[: end.start()])] if end else [])
+    titles = {"MIT": ("MIT License", "MIT License (MIT)"), "ISC": ("ISC License",), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "Zlib": ("zlib License",)}
+    plain = [("MIT", MIT), ("ISC", ISC), *texts]
+    return (*out, *((name, f"{title}\n\n{text}") for name, text in plain for title in titles.get(name, ())))
+
+
+def _blocks(folded_text: Column) -> Column:
+    """The stretches between empty lines that have a word."""
+    return F.filter(F.split(folded_text, "\n *\n"), lambda x: F.trim(F.translate(x, "\n", " ")) != "")
+
+
+def _run_lengths(spark, known) -> dict[str, list[int]]:
+    """For each word that a known text of several blocks can begin with, how many blocks such texts have."""
+    rows = spark.createDataFrame(list(known), "license string, t string").select("license", "t", F.size(_blocks(folded(F.col("t")))).alias("k")).where("k > 1").collect()
+    out: dict[str, set[int]] = {}
+    for r in rows:
+        for word in first_words([(r.license, r.t)]):
+            out.setdefault(word, set()).add(r.k)
+    return {w: sorted(ks) for w, ks in out.items()}
+
+
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known=KNOWN, runs: bool = False) -> DataFrame:
     """key, license, n_whole, n_blocks, n_lines (long): units of a text that are, entire, a known licence text.
 
     A unit is the whole text, a block of more than one line between empty lines, or a line; a text of one line is
-    counted as whole and as line. Texts without a match, null and empty ones give no row. Null keys are kept;
+    counted as whole and as line. With `runs`, so is every run of as many blocks as a known text has, if it is not the
+    whole text; it counts among the blocks. Texts without a match, null and empty ones give no row. Null keys are kept;
     repeated rows add up. The known table is a fixed list and is broadcast; nothing of the corpus is shuffled but matches.
     """
     table = known_digests(docs.sparkSession, known)
@@ -112,7 +147,16 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known=KNOWN)
     lines = F.transform(F.split("f", "\n"), lambda x: F.struct(F.lit("line").alias("scope"), x.alias("u")))
     blocks = F.transform(F.filter(F.split("f", "\n *\n"), lambda x: F.contains(F.trim(x), F.lit("\n"))), lambda x: F.struct(F.lit("block").alias("scope"), x.alias("u")))
     whole = F.array(F.struct(F.lit("whole").alias("scope"), F.col("f").alias("u")))
-    units = rows.select("_key", F.explode(F.concat(whole, blocks, lines)).alias("x")).select("_key", "x.scope", F.col("x.u").alias("u"))
+    scopes = [whole, blocks, lines]
+    lengths = _run_lengths(docs.sparkSession, known) if runs else {}
+    if lengths:
+        rows = rows.select("_key", "f", _blocks(F.col("f")).alias("bl"))
+        of_word = F.create_map(*(c for w, ks in lengths.items() for c in (F.lit(w), F.array(*map(F.lit, ks)))))
+        starts = F.filter(F.transform("bl", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, r"^[ \n]*([^ \n]*)", 1).alias("w"))), lambda s: s["w"].isin(list(lengths)))
+        places = F.flatten(F.transform(starts, lambda s: F.transform(of_word[s["w"]], lambda k: F.struct(s["i"].alias("i"), k.alias("k")))))
+        places = F.filter(places, lambda p: (p["i"] + p["k"] <= F.size("bl")) & (p["k"] < F.size("bl")))
+        scopes.append(F.transform(places, lambda p: F.struct(F.lit("block").alias("scope"), F.array_join(F.slice("bl", p["i"] + 1, p["k"]), "\n").alias("u"))))
+    units = rows.select("_key", F.explode(F.concat(*scopes)).alias("x")).select("_key", "x.scope", F.col("x.u").alias("u"))
     # Units that begin with another word than any spelling of a known text, or are far longer than all, can't match.
     units = units.where(F.regexp_extract("u", r"^[ \n]*([^ \n]*)", 1).isin(first_words(known)) & (F.length("u") <= limit)).select("_key", "scope", digest(spelled(F.col("u"))).alias("digest"))
     hits = units.join(F.broadcast(table.select("license", "digest")), "digest")

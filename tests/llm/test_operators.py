@@ -332,6 +332,21 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_full_and_embedded_licenses(spark):
+    """Full texts, alone, with a title and inside longer documents, as the query looks for them."""
+    from pathlib import Path
+
+    texts = {p.stem: p.read_text() for p in Path(licenses.__file__).with_name("license_texts").glob("*.txt")}
+    names = sorted(texts)
+    docs = [(i, texts[n]) for i, n in enumerate(names)] + [(100 + i, f"A program.\n\n{texts[n]}\n\nAnd its readme.") for i, n in enumerate(names)]
+    docs += [(200, "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + licenses.MIT), (201, "\n".join(f" * {x}" for x in ("Tool.\n\n" + licenses.ISC + "\n\ncode").split("\n"))), (202, licenses.MIT[:-9] + "\n\nend")]
+    rows = licenses.scan(spark.createDataFrame(docs, SCHEMA), known=licenses.full_texts(), runs=True).collect()
+    found = {(r.doc_id, r.license): (r.n_whole, r.n_blocks) for r in rows}
+    for i, name in enumerate(names):
+        assert found[i, name][0] == 1 and found[100 + i, name][0] == 0 and found[100 + i, name][1] >= 1, name
+    assert found[200, "MIT"] == (1, 1) and found[201, "ISC"] == (0, 1) and not any(d == 202 for d, _ in found)
+
+
 # ---- byte-level BPE ----
 
 
