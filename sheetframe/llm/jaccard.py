@@ -79,13 +79,15 @@ def _signed(x: np.ndarray) -> pa.Array:
 def part_keys(grams: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (and their text) such that two sets of percent or more, unless equal, have a key in common.
 
-    A pair belongs to the band of its larger set; a set also goes to the next band where that one's smallest could still match it.
+    A pair belongs to the band of its larger set; a set also goes to every later band whose smallest could still match it.
     """
     own = np.searchsorted(EDGES, np.maximum(sizes, 1), "right") - 1
     keys, texts = [], []
-    for step in (0, 1):
-        band = own + step
-        reach = (sizes > 0) if not step else (sizes > 0) & (100 * sizes >= percent * EDGES[band])
+    for step in range(len(EDGES)):
+        band = np.minimum(own + step, len(EDGES) - 2)
+        reach = (sizes > 0) & (own + step == band) & ((step == 0) | (100 * sizes >= percent * EDGES[band]))
+        if not reach.any():
+            break
         differ = 2 * (EDGES[band + 1] - 1) * (100 - percent) // (100 + percent)
         reach &= differ > 0  # else only equal sets match
         extra = np.where(differ < 20, 1, 2)

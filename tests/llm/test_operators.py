@@ -198,6 +198,24 @@ def test_part_keys_meet_and_trees_agree(percent):
     assert found.tolist() == root
 
 
+@pytest.mark.parametrize("percent", [10, 30, 50, 66])
+def test_sets_several_bands_apart(spark, percent):
+    """One set inside another, as much smaller as the percentage allows: they have a key in common and link."""
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    for small in (2, 4, 5, 10, 40):
+        large = small * 100 // percent
+        sets = [np.sort(rng.integers(0, 1 << 63, large, dtype=np.uint64))]
+        sets.append(np.sort(rng.permutation(sets[0])[:small]))
+        keys, texts = jaccard.part_keys(np.concatenate(sets), np.repeat([0, 1], [large, small]), np.array([large, small]), percent)
+        assert set(keys[texts == 0].tolist()) & set(keys[texts == 1].tolist()), (small, large)
+    docs = [(1, "a b c d"), (2, "a b c d e f g h"), (3, "x y z w")]
+    if percent == 50:
+        out = {r.doc_id: r.component_id for r in jaccard.similarity_components(spark.createDataFrame(docs, SCHEMA), n=1, percent=50).collect()}
+        assert out == {1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (None, 1), *((i, i + 1) for i in range(100, 160)), *((500, 501 + i) for i in range(50))]
     found = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
