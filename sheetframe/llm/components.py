@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from .common import kept
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v): links u's neighbours v to the smallest of u and its neighbours."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+#: Nodes with more neighbours than this, and than a share of all edges, are joined by broadcast: there are at most 2 * SHARE of them.
+HUB, SHARE = 1_000, 100_000
+
+
+def _stars(pairs: DataFrame, size: int) -> DataFrame:
+    """pairs (u, v), at most `size`: links u's neighbours v to the smallest of u and its neighbours.
+
+    The neighbours of a hub are never brought into one task: hubs are few by their degree, so they travel to the pairs.
+    """
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+    hub = F.col("degree") > max(HUB, size // SHARE)
+    hubs = least.where(hub).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+    marked = pairs.join(F.broadcast(hubs), pairs["u"] == hubs["h"], "left")
+    near = marked.where("h is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u").select("u", "v", "m")
+    return near.unionAll(marked.where("h is not null").select("u", "v", F.col("hm").alias("m")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
@@ -22,11 +33,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     Null ends and loops are no edges. No edges give no rows. Running out of rounds is an error, never a partial answer.
     """
     e = kept(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = None
+    seen, size = None, 2 * e.count()  # no round has more pairs
     for _ in range(rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _stars(large)  # its v are all smaller than u
+        large = _stars(both, size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _stars(large, size)  # its v are all smaller than u
         e = kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(small.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:

@@ -1,17 +1,20 @@
 """Exact Jaccard self-join on word shingles, by signature trees.
 
 1. Texts become sets of 64-bit shingle hashes; equal sets (128-bit digest) are one class from here on.
-2. Where trees can be useful at all: two sets of Jaccard t or more differ in at most k = S(1-t)/(1+t) elements
-   (S: both sizes). If the hash range is cut into k+1+e parts, every differing element spoils one part at most, so
-   e+1 parts agree in full. Agreement on a part becomes an equality of hashes, in bands of similar size; the
-   smallest class of each bucket is linked to the others (a star, not pairs), and connected components of these
-   stars hold every pair that can qualify. Common passages spoil no part and fill none, so they link nobody alone.
-3. The sets of a component meet in one task and form a signature tree: nodes hold the OR of the bitmaps
+2. A set of n shingles that is linked with another shares at least t*n of them, so of its n - t*n + j smallest hashes (its
+   head) at least j are in another set's head as well. Only sets that pass this are read on: in most corpora a small part.
+   Of these, only sets of which t*n shingles are found in other such sets are kept. Both filters lose no pair.
+3. What remains is dealt to trees. Two linked sets differ in at most k = S(1-t)/(1+t) elements (S: both sizes). If the hash
+   range is cut into k+1+e parts, every differing element spoils one part at most, so e+1 parts agree in full. Agreement on
+   a part that is not empty becomes an equality of hashes, in bands of similar size; the smallest class of each bucket is
+   linked to the others (a star, not pairs), and connected components of these stars hold every pair that can qualify.
+4. The sets of a component meet in one task and form a signature tree: nodes hold the OR of the bitmaps
    of their sets, the range of their sizes, and the most elements that share a bit with another. Two nodes'
    sets overlap in at most popcount(a AND b) plus the smaller of those excesses; a dual traversal drops node
    pairs that cannot reach the overlap needed, and those whose sets are all linked already. What is left
-   is compared exactly. A component too large for one task is cut into blocks of similar sizes, and pairs
-   of blocks are the tasks: no pair is lost, none is capped.
+   is compared exactly. The trees decide every link; steps 2 and 3 only say which sets meet in a tree.
+5. A component too large for one task is settled by its stars alone if these, compared exactly, already join all of it
+   (as in a large group of near copies). Otherwise it is cut into blocks of similar sizes, and pairs of blocks are the tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -32,6 +36,8 @@ BLOCK = 1_000_000
 #: A checked bound of broadcasts: rows of 16 bytes.
 BROADCAST_ROWS = 500_000
 FANOUT = 8
+#: One in so many shingles of a set must be found elsewhere before all of them are looked at.
+HEAD = 20
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +68,10 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def band_edges(largest: int = 1 << 40) -> list[int]:
-    """Sizes at which bands of sets begin, each about half as large again as the one before."""
+    """Sizes at which bands of sets begin, each about a quarter larger than the one before."""
     out = [1]
     while out[-1] <= largest:
-        out.append(max(out[-1] + 1, ceil(out[-1] * 1.5)))
+        out.append(max(out[-1] + 1, ceil(out[-1] * 1.25)))
     return out
 
 
@@ -76,6 +82,30 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def spare_parts(band: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """How many parts of the smallest sets of a band are empty, with room for chance: so many more parts are made."""
+    least = np.maximum(percent * EDGES[band] // 100, 1)
+    empty = (differ + 1) * np.exp(-least / (differ + 1))
+    return 1 + np.ceil(1.25 * empty + 2 * np.sqrt(empty)).astype(np.int64)
+
+
+def heads(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of these sizes: how many of their smallest hashes are looked at, and how many of those a linked set's head has too.
+
+    A linked set B holds at least need(A) = ceil(t|A|) elements of A, so B lacks at most |A| - need(A). The r-th smallest common
+    element has therefore a rank of at most r + |A| - need(A) in A and of r + |B| - need(B) in B. Heads of |X| - need(X) + j(X)
+    both hold the min(j(A), j(B)) smallest common ones, and B has need(A) elements or more.
+    """
+
+    def need(n: np.ndarray) -> np.ndarray:
+        return -(-percent * n // 100)
+
+    def more(n: np.ndarray) -> np.ndarray:
+        return np.minimum(n // HEAD + 1, need(n))
+
+    return sizes - need(sizes) + more(sizes), more(need(sizes))
+
+
 def part_keys(grams: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (and their text) such that two sets of percent or more, unless equal, have a key in common.
 
@@ -90,7 +120,7 @@ def part_keys(grams: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int
             break
         differ = 2 * (EDGES[band + 1] - 1) * (100 - percent) // (100 + percent)
         reach &= differ > 0  # else only equal sets match
-        extra = np.where(differ < 20, 1, 2)
+        extra = spare_parts(band, differ, percent)
         parts = np.where(reach, differ + 1 + extra, 0)
         base = np.concatenate([[0], np.cumsum(parts)])
         on = reach[of]
@@ -106,15 +136,30 @@ def part_keys(grams: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int
             keys.append(C.mix(np.add.reduceat(C.mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first) + place))
         texts.append(t[first])
         empty = parts - np.bincount(t[first], minlength=len(sizes))
-        for d in np.flatnonzero(empty > extra):  # rare: then agreement may be on empty parts alone
-            missing = np.setdiff1d(np.arange(parts[d]), slot[first[t[first] == d]] - base[d]).astype(np.uint64)
-            keys.append(C.mix(C.mix(np.uint64(band[d]) << np.uint64(40) | missing) ^ np.uint64(0x5C5C5C5C5C5C5C5C)))
-            texts.append(np.full(len(missing), d))
+        sparse = np.flatnonzero(reach & (empty > extra))  # rare: then agreement may be on empty parts alone
+        if len(sparse):
+            vacant = np.ones(int(base[-1]), bool)
+            vacant[slot[first]] = False
+            slots = np.flatnonzero(vacant & np.repeat(np.isin(np.arange(len(sizes)), sparse), parts))
+            d = np.searchsorted(base, slots, "right") - 1
+            keys.append(C.mix(C.mix(band[d].astype(np.uint64) << np.uint64(40) | (slots - base[d]).astype(np.uint64)) ^ np.uint64(0x5C5C5C5C5C5C5C5C)))
+            texts.append(d)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(texts)
 
 
+def _more(need: Column, percent: int) -> Column:
+    """What heads() says of sets of that size, as a Column."""
+    return F.least(F.floor(need / HEAD) + 1, F.ceil(need * percent / F.lit(100)))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of a column of lists: their elements, the row of each, and the sizes."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
 def _digests(grams: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.bincount(of, minlength=n).astype(np.int64)
     full = np.flatnonzero(sizes)
@@ -243,63 +288,98 @@ def similarity_components(docs: DataFrame, text: str = "text", key: str = "doc_i
             yield a, b, *shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text in one task give its head once
         for batch in batches:
             for a, b, grams, of in sets_of(batch):
                 sizes, d1, d2 = _digests(grams, of, b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), _signed(d1), _signed(d2)], names=["id", "n", "d1", "d2"])
+                new = np.zeros(b - a, bool)
+                for i, d in enumerate(d1.tolist()):
+                    if d not in seen:
+                        seen.add(d)
+                        new[i] = True
+                length = np.where(new, heads(sizes, percent)[0], 0)
+                on = np.arange(len(grams)) - np.searchsorted(of, np.arange(b - a))[of] < length[of]
+                head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), _signed(grams[on]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), _signed(d1), _signed(d2), head], names=["id", "n", "d1", "d2", "head"])
+
+    def as_list(grams: np.ndarray, of: np.ndarray, size: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(size + 1)).astype(np.int32)), _signed(grams))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, grams, of in sets_of(batch):
-                sizes, d1, _ = _digests(grams, of, b - a)
-                keys, texts = part_keys(grams, of, sizes, percent)
-                pairs = np.unique(np.stack([keys, d1[texts]], 1), axis=0) if len(np.unique(d1)) < b - a else np.stack([keys, d1[texts]], 1)
-                yield pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(pairs[:, 0])), _signed(np.ascontiguousarray(pairs[:, 1]))], names=["k", "d"])
+                sizes, d1, d2 = _digests(grams, of, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), _signed(d1), _signed(d2), as_list(grams, of, b - a)], names=["rep", "n", "d1", "d2", "s"])
 
-    table = C.kept(source.mapInArrow(summarise, "id long, n long, d1 long, d2 long"))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, of, sizes = _flat(batch.column(1))
+            d1 = batch.column(0).to_numpy()
+            keys, at = part_keys(grams, of, sizes, percent)
+            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(d1[at])], names=["k", "d"])
+
+    def met(rows: DataFrame, least: int) -> DataFrame:
+        """d of those (d, n, k) rows of which enough k occur under another d too; position `least` says of heads() how many."""
+        both = rows.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("k")
+        need = F.ceil(F.col("n") * percent / F.lit(100)) if least == 0 else _more(F.ceil(F.col("n") * percent / F.lit(100)), percent)
+        return rows.join(both, "k").groupBy("d", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= need).select("d")
+
+    table = C.kept(source.mapInArrow(summarise, "id long, n long, d1 long, d2 long, head array<long>"))
     classes = table.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    keys = source.where("id is not null").mapInArrow(keyed, "k long, d long")
+    met_heads = met(table.where("id is not null").select(F.col("d1").alias("d"), "n", F.explode("head").alias("k")), 1)
+    wanted = C.kept(classes.join(met_heads, classes["d1"] == met_heads["d"], "left_semi").select("rep").distinct())
+    texts = source.where("id is not null and t is not null")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # the bound of the broadcast, checked
+    chosen = texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), texts["id"] == wanted["rep"]).select("rep", "t")
+    # Repeated rows of one key: any of them serves if they are equal; if not, all sets of the key take part.
+    sets = C.kept(chosen.mapInArrow(sets_out, "rep long, n long, d1 long, d2 long, s array<long>").where("n > 0").dropDuplicates(["rep", "d1", "d2"]))
+    left = met(sets.select(F.col("d1").alias("d"), "n", F.explode("s").alias("k")), 0)
+    sets = sets.join(left, sets["d1"] == left["d"], "left_semi")
     # Buckets with one class only are dropped here; the others become stars around their smallest class.
+    keys = sets.select("d1", "s").mapInArrow(keyed, "k long, d long")
     buckets = keys.groupBy("k").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead <> last").select("k", "lead")
-    stars = keys.join(buckets, "k").where("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b"))
+    stars = C.kept(keys.join(buckets, "k").where("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct())
     groups = components(stars)
-    members = C.kept(classes.join(groups, classes["d1"] == groups["node"]).select("rep", "n", "d1", F.col("label").alias("c")))
-
-    # Components of more than a block are cut by size (neighbouring bands only can match) and hash.
+    members = C.kept(sets.join(groups, sets["d1"] == groups["node"]).select("rep", "n", "d1", "s", F.col("label").alias("c")))
+
+    # Components of more than a block: their stars are compared exactly, and those that are one by these links are done.
+    large = C.kept(members.groupBy("c").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK).select("c"))
+    any_large = large.limit(1).count() > 0
+    settled = None
+    if any_large:
+        of_large = members.join(large, "c", "left_semi")
+        x, y = (of_large.select(F.col("d1").alias(e), F.col("rep").alias(f"r{e}"), F.col("s").alias(f"s{e}"), *([F.col("c")] if e == "a" else [])) for e in "ab")
+        near = stars.join(x, "a").join(y, "b").select("ra", "rb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("m"))
+        settled = C.kept(near.where((F.col("ra") != F.col("rb")) & (100 * F.col("m") >= percent * (F.col("na") + F.col("nb") - F.col("m")))).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        joined = components(settled)
+        parts_of = of_large.select("c", "rep").join(joined, F.col("rep") == F.col("node"), "left").groupBy("c").agg(F.min(F.coalesce("label", "rep")).alias("lo"), F.max(F.coalesce("label", "rep")).alias("hi"))
+        done = parts_of.where("lo = hi").select("c")
+        large = C.kept(large.join(done, "c", "left_anti"))
+        members = C.kept(members.join(done, "c", "left_anti"))
+
+    # What is still large is cut by size (neighbouring bands only can match) and hash.
     ratio = float(np.log(100 / percent))
-    banded = members.withColumn("band", F.floor(F.log(F.col("n")) / ratio).cast("int"))
-    large = members.groupBy("c").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK)
-    cuts = banded.join(large.select("c"), "c").groupBy("c", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("m"))
-    shifted = lambda step, name: cuts.select(F.col("c"), (F.col("band") + step).alias("band"), F.col("m").alias(name))
-    placed = banded.join(large.select("c", F.lit(True).alias("is_large")), "c", "left").join(cuts, ["c", "band"], "left").join(shifted(1, "below"), ["c", "band"], "left").join(shifted(-1, "above"), ["c", "band"], "left")
-    block = F.pmod(F.xxhash64("d1"), F.coalesce("m", F.lit(1))).cast("int")
-    # A task is a pair of blocks (band, block, other band, other block); a set goes to all of its block's pairs.
-    tasks = F.expr("""case when is_large is null then array(named_struct('x', concat('c', c), 'side', 0)) else concat(
-        transform(sequence(0, m - 1), j -> named_struct('x', concat_ws(':', c, band, least(j, j0), band, greatest(j, j0)), 'side', case when j = j0 then 0 when j0 < j then 1 else 2 end)),
-        transform(case when above > 0 then sequence(0, above - 1) else array() end, j -> named_struct('x', concat_ws(':', c, band, j0, band + 1, j), 'side', 1)),
-        transform(case when below > 0 then sequence(0, below - 1) else array() end, j -> named_struct('x', concat_ws(':', c, band - 1, j, band, j0), 'side', 2))) end""")
-    assigned = placed.withColumn("j0", block).select("rep", F.explode(tasks).alias("task")).select("rep", "task.x", "task.side")
-
-    wanted = members.select("rep")
-    texts = source.where("id is not null and t is not null")
-    few = members.count() <= BROADCAST_ROWS  # the bound of the broadcast, checked
-    chosen = texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), texts["id"] == wanted["rep"]).select("rep", "t")
-
-    def sets_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, grams, of in sets_of(batch):
-                bounds = np.searchsorted(of, np.arange(b - a + 1)) * 8
-                raw = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(grams)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), raw], names=["rep", "s"])
-
-    # Repeated rows of one key: any of them serves if they are equal; if not, all sets of the key take part.
-    sets = chosen.mapInArrow(sets_out, "rep long, s binary").dropDuplicates(["rep", "s"])
-    work = assigned.join(sets, "rep").select("x", "side", "rep", "s").repartition(C.partitions(spark), "x").sortWithinPartitions("x")
+    banded = members.drop("s").withColumn("band", F.floor(F.log(F.col("n")) / ratio).cast("int"))
+    if any_large:
+        cuts = banded.join(large, "c").groupBy("c", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("m"))
+        shifted = lambda step, name: cuts.select(F.col("c"), (F.col("band") + step).alias("band"), F.col("m").alias(name))
+        placed = banded.join(large.select("c", F.lit(True).alias("is_large")), "c", "left").join(cuts, ["c", "band"], "left").join(shifted(1, "below"), ["c", "band"], "left").join(shifted(-1, "above"), ["c", "band"], "left")
+        block = F.pmod(F.xxhash64("d1"), F.coalesce("m", F.lit(1))).cast("int")
+        # A task is a pair of blocks (band, block, other band, other block); a set goes to all of its block's pairs.
+        tasks = F.expr("""case when is_large is null then array(named_struct('x', concat('c', c), 'side', 0)) else concat(
+            transform(sequence(0, m - 1), j -> named_struct('x', concat_ws(':', c, band, least(j, j0), band, greatest(j, j0)), 'side', case when j = j0 then 0 when j0 < j then 1 else 2 end)),
+            transform(case when above > 0 then sequence(0, above - 1) else array() end, j -> named_struct('x', concat_ws(':', c, band, j0, band + 1, j), 'side', 1)),
+            transform(case when below > 0 then sequence(0, below - 1) else array() end, j -> named_struct('x', concat_ws(':', c, band - 1, j, band, j0), 'side', 2))) end""")
+        assigned = placed.withColumn("j0", block).select("rep", "d1", F.explode(tasks).alias("task")).select("rep", "d1", "task.x", "task.side")
+        work = assigned.join(members.select("rep", "d1", "s"), ["rep", "d1"]).select("x", "side", "rep", "s")
+    else:
+        work = members.select(F.col("c").cast("string").alias("x"), F.lit(0).alias("side"), "rep", "s")
+    work = work.repartition(C.partitions(spark), "x").sortWithinPartitions("x")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list) -> tuple[list[int], list[int]]:
             reps, sides = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
-            roots = linked([np.frombuffer(r[2], np.uint64) for r in rows], sides if sides.any() else None, percent)
+            roots = linked([r[2] for r in rows], sides if sides.any() else None, percent)
             least = np.full(len(rows), np.iinfo(np.int64).max)
             np.minimum.at(least, roots, reps)
             on = least[roots] != reps
@@ -307,7 +387,9 @@ def similarity_components(docs: DataFrame, text: str = "text", key: str = "doc_i
 
         task, rows, a, b = None, [], [], []
         for batch in batches:
-            for x, side, rep, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            grams, of, sizes = _flat(batch.column(3))
+            each = np.split(grams, np.cumsum(sizes)[:-1]) if len(sizes) else []
+            for x, side, rep, s in zip(*(c.to_pylist() for c in batch.columns[:3]), each, strict=True):
                 if x != task:
                     if len(rows) > 1:
                         found = solved(rows)
@@ -324,7 +406,7 @@ def similarity_components(docs: DataFrame, text: str = "text", key: str = "doc_i
 
     links = C.kept(work.mapInArrow(link, "a long, b long"))
     # Tasks over whole components have found the smallest member already; links of cut components are joined up.
-    labels = components(links) if large.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = components(links.unionAll(settled)) if settled is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     final = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("component_id"))
     return (
         table.join(final, ["d1", "d2", "n"], "left")
