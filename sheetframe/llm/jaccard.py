@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
+from .meeting import shared_counts, stars
 
 #: Shingles in one block of a task; a component with more is cut. 8 bytes each.
 BLOCK = 1_000_000
@@ -37,7 +38,7 @@ BLOCK = 1_000_000
 BROADCAST_ROWS = 500_000
 FANOUT = 8
 #: One in so many shingles of a set must be found elsewhere before all of them are looked at.
-HEAD = 20
+HEAD = 10
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,45 +312,40 @@ def similarity_components(docs: DataFrame, text: str = "text", key: str = "doc_i
                 sizes, d1, d2 = _digests(grams, of, b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), _signed(d1), _signed(d2), as_list(grams, of, b - a)], names=["rep", "n", "d1", "d2", "s"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, of, sizes = _flat(batch.column(1))
-            d1 = batch.column(0).to_numpy()
-            keys, at = part_keys(grams, of, sizes, percent)
-            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(d1[at])], names=["k", "d"])
-
-    def met(rows: DataFrame, least: int) -> DataFrame:
-        """d of those (d, n, k) rows of which enough k occur under another d too; position `least` says of heads() how many."""
-        both = rows.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("k")
-        need = F.ceil(F.col("n") * percent / F.lit(100)) if least == 0 else _more(F.ceil(F.col("n") * percent / F.lit(100)), percent)
-        return rows.join(both, "k").groupBy("d", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= need).select("d")
-
-    table = C.kept(source.mapInArrow(summarise, "id long, n long, d1 long, d2 long, head array<long>"))
+    def listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(batch.column(1))[:2]
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return part_keys(*_flat(batch.column(1)), percent)
+
+    # Rows are numbered once, and the numbers are kept: they stand for sets from here on.
+    table = C.kept(source.mapInArrow(summarise, "id long, n long, d1 long, d2 long, head array<long>").withColumn("row", F.monotonically_increasing_id()))
     classes = table.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    met_heads = met(table.where("id is not null").select(F.col("d1").alias("d"), "n", F.explode("head").alias("k")), 1)
-    wanted = C.kept(classes.join(met_heads, classes["d1"] == met_heads["d"], "left_semi").select("rep").distinct())
+    least = _more(F.ceil(F.col("n") * percent / F.lit(100)), percent)
+    found = shared_counts(table.where("id is not null").select("row", "head"), listed, table.agg(F.sum(F.size("head"))).first()[0] or 0)
+    passed = table.select("row", "n", "d1", "d2").join(found, "row").where(F.col("shared") >= least).select("d1", "d2", "n").distinct()
+    wanted = C.kept(classes.join(passed, ["d1", "d2", "n"], "left_semi").select("rep").distinct())
     texts = source.where("id is not null and t is not null")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # the bound of the broadcast, checked
     chosen = texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), texts["id"] == wanted["rep"]).select("rep", "t")
     # Repeated rows of one key: any of them serves if they are equal; if not, all sets of the key take part.
-    sets = C.kept(chosen.mapInArrow(sets_out, "rep long, n long, d1 long, d2 long, s array<long>").where("n > 0").dropDuplicates(["rep", "d1", "d2"]))
-    left = met(sets.select(F.col("d1").alias("d"), "n", F.explode("s").alias("k")), 0)
-    sets = sets.join(left, sets["d1"] == left["d"], "left_semi")
-    # Buckets with one class only are dropped here; the others become stars around their smallest class.
-    keys = sets.select("d1", "s").mapInArrow(keyed, "k long, d long")
-    buckets = keys.groupBy("k").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead <> last").select("k", "lead")
-    stars = C.kept(keys.join(buckets, "k").where("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct())
-    groups = components(stars)
-    members = C.kept(sets.join(groups, sets["d1"] == groups["node"]).select("rep", "n", "d1", "s", F.col("label").alias("c")))
-
+    sets = chosen.mapInArrow(sets_out, "rep long, n long, d1 long, d2 long, s array<long>").where("n > 0").dropDuplicates(["rep", "d1", "d2"])
+    sets = C.kept(sets.withColumn("row", F.monotonically_increasing_id()))
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    found = shared_counts(sets.select("row", "s"), listed, size)
+    left = sets.select("row", "n").join(found, "row").where(F.col("shared") >= F.ceil(F.col("n") * percent / F.lit(100))).select("row")
+    sets = C.kept(sets.join(left, "row", "left_semi").sortWithinPartitions("row"))
+    star_edges = C.kept(stars(sets.select("row", "s"), keyed, size))
+    groups = components(star_edges)
+    members = C.kept(sets.join(groups, sets["row"] == groups["node"]).select("rep", "n", "row", "s", F.col("label").alias("c")))
     # Components of more than a block: their stars are compared exactly, and those that are one by these links are done.
     large = C.kept(members.groupBy("c").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK).select("c"))
     any_large = large.limit(1).count() > 0
     settled = None
     if any_large:
         of_large = members.join(large, "c", "left_semi")
-        x, y = (of_large.select(F.col("d1").alias(e), F.col("rep").alias(f"r{e}"), F.col("s").alias(f"s{e}"), *([F.col("c")] if e == "a" else [])) for e in "ab")
-        near = stars.join(x, "a").join(y, "b").select("ra", "rb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("m"))
+        x, y = (of_large.select(F.col("row").alias(e), F.col("rep").alias(f"r{e}"), F.col("s").alias(f"s{e}"), *([F.col("c")] if e == "a" else [])) for e in "ab")
+        near = star_edges.join(x, "a").join(y, "b").select("ra", "rb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("m"))
         settled = C.kept(near.where((F.col("ra") != F.col("rb")) & (100 * F.col("m") >= percent * (F.col("na") + F.col("nb") - F.col("m")))).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         joined = components(settled)
         parts_of = of_large.select("c", "rep").join(joined, F.col("rep") == F.col("node"), "left").groupBy("c").agg(F.min(F.coalesce("label", "rep")).alias("lo"), F.max(F.coalesce("label", "rep")).alias("hi"))
@@ -364,14 +360,14 @@ def similarity_components(docs: DataFrame, text: str = "text", key: str = "doc_i
         cuts = banded.join(large, "c").groupBy("c", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("m"))
         shifted = lambda step, name: cuts.select(F.col("c"), (F.col("band") + step).alias("band"), F.col("m").alias(name))
         placed = banded.join(large.select("c", F.lit(True).alias("is_large")), "c", "left").join(cuts, ["c", "band"], "left").join(shifted(1, "below"), ["c", "band"], "left").join(shifted(-1, "above"), ["c", "band"], "left")
-        block = F.pmod(F.xxhash64("d1"), F.coalesce("m", F.lit(1))).cast("int")
+        block = F.pmod(F.xxhash64("row"), F.coalesce("m", F.lit(1))).cast("int")
         # A task is a pair of blocks (band, block, other band, other block); a set goes to all of its block's pairs.
         tasks = F.expr("""case when is_large is null then array(named_struct('x', concat('c', c), 'side', 0)) else concat(
             transform(sequence(0, m - 1), j -> named_struct('x', concat_ws(':', c, band, least(j, j0), band, greatest(j, j0)), 'side', case when j = j0 then 0 when j0 < j then 1 else 2 end)),
             transform(case when above > 0 then sequence(0, above - 1) else array() end, j -> named_struct('x', concat_ws(':', c, band, j0, band + 1, j), 'side', 1)),
             transform(case when below > 0 then sequence(0, below - 1) else array() end, j -> named_struct('x', concat_ws(':', c, band - 1, j, band, j0), 'side', 2))) end""")
-        assigned = placed.withColumn("j0", block).select("rep", "d1", F.explode(tasks).alias("task")).select("rep", "d1", "task.x", "task.side")
-        work = assigned.join(members.select("rep", "d1", "s"), ["rep", "d1"]).select("x", "side", "rep", "s")
+        assigned = placed.withColumn("j0", block).select("row", F.explode(tasks).alias("task")).select("row", "task.x", "task.side")
+        work = assigned.join(members.select("rep", "row", "s"), "row").select("x", "side", "rep", "s")
     else:
         work = members.select(F.col("c").cast("string").alias("x"), F.lit(0).alias("side"), "rep", "s")
     work = work.repartition(C.partitions(spark), "x").sortWithinPartitions("x")
