@@ -24,13 +24,12 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
-from .meeting import shared_counts, stars
+from .meeting import flat, listed, shared_counts, stars
 
 #: Shingles in one block of a task; a component with more is cut. 8 bytes each.
 BLOCK = 1_000_000
@@ -155,12 +154,6 @@ def _more(need: Column, percent: int) -> Column:
     return F.least(F.floor(need / HEAD) + 1, F.ceil(need * percent / F.lit(100)))
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets of a column of lists: their elements, the row of each, and the sizes."""
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(sizes)), sizes), sizes
-
-
 def _digests(grams: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.bincount(of, minlength=n).astype(np.int64)
     full = np.flatnonzero(sizes)
@@ -312,11 +305,8 @@ def similarity_components(docs: DataFrame, text: str = "text", key: str = "doc_i
                 sizes, d1, d2 = _digests(grams, of, b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), _signed(d1), _signed(d2), as_list(grams, of, b - a)], names=["rep", "n", "d1", "d2", "s"])
 
-    def listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return _flat(batch.column(1))[:2]
-
     def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return part_keys(*_flat(batch.column(1)), percent)
+        return part_keys(*flat(batch.column(1)), percent)
 
     # Rows are numbered once, and the numbers are kept: they stand for sets from here on.
     table = C.kept(source.mapInArrow(summarise, "id long, n long, d1 long, d2 long, head array<long>").withColumn("row", F.monotonically_increasing_id()))
@@ -383,7 +373,7 @@ def similarity_components(docs: DataFrame, text: str = "text", key: str = "doc_i
 
         task, rows, a, b = None, [], [], []
         for batch in batches:
-            grams, of, sizes = _flat(batch.column(3))
+            grams, of, sizes = flat(batch.column(3))
             each = np.split(grams, np.cumsum(sizes)[:-1]) if len(sizes) else []
             for x, side, rep, s in zip(*(c.to_pylist() for c in batch.columns[:3]), each, strict=True):
                 if x != task:

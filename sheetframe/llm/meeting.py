@@ -3,7 +3,8 @@
 Keys travel packed. A map task sorts the keys of some rows (a run) and sees at once which of them several of its rows have;
 of every distinct key one entry leaves the run, with the first row that has it. So a key that a third of all rows have costs
 one entry for each run. Entries go to ranges of the hash, one compressed piece for each run and range; there equal keys meet.
-The number of ranges follows the number of keys, so a task's memory doesn't. Nothing is dropped, and nothing is collected.
+What a range finds out about a run's rows goes back to that run in one piece. The number of ranges follows the number of keys,
+so a task's memory doesn't. Nothing is dropped, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,38 @@ def by_key(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, rows, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column of lists of longs: their elements as hashes, the row of each, and the lengths."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of rows whose second column lists them."""
+    return flat(batch.column(1))[:2]
+
+
+def _answer(a: np.ndarray, b: np.ndarray, stars: bool) -> bytes | None:
+    """Distinct edges, or rows and how often each occurs, as bytes."""
+    if not len(a):
+        return None
+    a, b = np.unique(np.stack([a, b]), axis=1) if stars else np.unique(a, return_counts=True)
+    return pa.compress(planes(a.astype(np.int64)).tobytes() + planes(b.astype(np.int64)).tobytes(), codec="zstd", asbytes=True) + (16 * len(a)).to_bytes(8, "little")
+
+
+def _answered(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(blob[-8:], "little")
+    raw = np.frombuffer(pa.decompress(blob[:-8], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    a, b = (np.ascontiguousarray(x.reshape(8, -1).T).view(np.int64).ravel() for x in np.split(raw, 2))
+    return a, b
+
+
+def _home(base: int, n: int) -> int:
+    return int(C.mix(np.array([base], np.uint64))[0] % np.uint64(n))
+
+
+def _pieces(parts: list, bases: list, blobs: list, kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(bases, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "base", "answer", "blob"])
 
 
 def _packed(rows: DataFrame, keys_of: Callable, size: int, stars: bool) -> DataFrame:
@@ -74,19 +105,18 @@ def _packed(rows: DataFrame, keys_of: Callable, size: int, stars: bool) -> DataF
             own = np.repeat(several, size)
             if stars:
                 own &= at != lead[of]
-                a, b = np.unique(np.stack([lead[of][own], at[own]]), axis=1) if own.any() else (at[:0], at[:0])
-            else:
-                a, b = np.unique(at[own], return_counts=True)
-            if len(a):
-                parts.append(int(C.mix(np.array([base], np.uint64))[0]) % n)
-                blobs.append(b"\1" + a.astype(np.int64).tobytes() + b.astype(np.int64).tobytes())
+            if own.any():
+                parts.append(_home(base, n))
+                blobs.append(_answer(lead[of][own] if stars else at[own], at[own], stars))
+            kinds = [True] * len(parts)
             entry = (lead - base).astype(np.uint64) | np.where(several, MANY, np.uint64(0))
             at_cut = np.searchsorted(keys[first], cuts)
             for part, (k, e) in enumerate(zip(np.split(keys[first], at_cut), np.split(entry, at_cut), strict=True)):
                 if len(k):
                     parts.append(part)
-                    blobs.append(b"\0" + pack(k, e))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([base] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "base", "blob"])
+                    blobs.append(pack(k, e))
+                    kinds.append(False)
+            yield _pieces(parts, [base] * len(parts), blobs, kinds)
 
         size = 0
         for batch in batches:
@@ -100,29 +130,50 @@ def _packed(rows: DataFrame, keys_of: Callable, size: int, stars: bool) -> DataF
             yield from flush()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        entries: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for part, base, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if blob[:1] == b"\1":
-                    yield from _edges(*np.split(np.frombuffer(blob, np.int64, offset=1), 2))
-                    continue
-                k, e = unpack(blob[1:])
-                entries.setdefault(part, []).append((k, (e & ~MANY).astype(np.int64) + base, (e & MANY) != 0))
+            for part, base, answer, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if answer:
+                    yield _pieces([part], [base], [blob], [True])
+                else:
+                    entries.setdefault(part, []).append((base, blob))
         for part in list(entries):
-            k, at, several = (np.concatenate(x) for x in zip(*entries.pop(part), strict=True))
-            order = np.argsort(at, kind="stable")
-            keys, refs, first, of = by_key(k[order], np.arange(len(k)))
-            at, several = at[order][refs], several[order][refs]
+            own = sorted(entries.pop(part))  # by run, so in the order of rows
+            opened = [unpack(blob) for _, blob in own]
+            run = np.repeat(np.arange(len(own)), [len(k) for k, _ in opened])
+            values = np.concatenate([e for _, e in opened])
+            at = (values & ~MANY).astype(np.int64) + np.array([base for base, _ in own])[run]
+            several = (values & MANY) != 0
+            _, ref, first, of = by_key(np.concatenate([k for k, _ in opened]), np.arange(len(at)))
+            at, several, run = at[ref], several[ref], run[ref]
+            lead = at[first][of]
+            # Several rows of a run have counted theirs already.
+            on = at != lead if stars else (np.diff(first, append=len(at)) > 1)[of] & ~several
+            lead, at, run = lead[on], at[on], run[on]
+            order = np.argsort(run, kind="stable")
+            lead, at, run = lead[order], at[order], run[order]
+            cut = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]]) if len(run) else [0]
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                base = own[run[x]][0]
+                yield _pieces([_home(base, n)], [base], [_answer(lead[x:y] if stars else at[x:y], at[x:y], stars)], [True])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs_of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for base, blob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                runs_of.setdefault(base, []).append(_answered(blob))
+        for base in list(runs_of):
+            a, b = (np.concatenate(x) for x in zip(*runs_of.pop(base), strict=True))
             if stars:
-                lead = at[first][of]
-                on = at != lead
-                yield from _edges(*(np.unique(np.stack([lead[on], at[on]]), axis=1) if on.any() else (at[:0], at[:0])))
+                a, b = np.unique(np.stack([a, b]), axis=1)
             else:
-                shared = (np.diff(first, append=len(keys)) > 1)[of] & ~several  # several rows of a run have counted theirs
-                yield from _edges(*np.unique(at[shared], return_counts=True))
+                a, of = np.unique(a, return_inverse=True)
+                b = np.bincount(of, weights=b).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    packed = rows.mapInArrow(runs, "part int, base long, blob binary")
-    return packed.repartitionById(n, "part").mapInArrow(met, "a long, b long")
+    piece = "part int, base long, answer boolean, blob binary"
+    found = rows.mapInArrow(runs, piece).repartitionById(n, "part").mapInArrow(met, piece)
+    return found.repartitionById(n, "part").mapInArrow(settled, "a long, b long")
 
 
 def shared_counts(rows: DataFrame, keys_of: Callable, size: int) -> DataFrame:
@@ -132,7 +183,7 @@ def shared_counts(rows: DataFrame, keys_of: Callable, size: int) -> DataFrame:
     partition is computed again. keys_of(batch) gives 64-bit keys and the position in the batch of the row of each; a row
     has a key once. `size` is about the number of all keys.
     """
-    return _packed(rows, keys_of, size, False).groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("shared"))
+    return _packed(rows, keys_of, size, False).groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("shared"))  # a row may lie in two runs
 
 
 def stars(rows: DataFrame, keys_of: Callable, size: int) -> DataFrame:
