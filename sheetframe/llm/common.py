@@ -22,11 +22,14 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset (tests, one machine), a temporary one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master, else an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = context.getCheckpointDir() or tempfile.mkdtemp(prefix="sheetframe-")
+        found = context.getCheckpointDir()
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = found or tempfile.mkdtemp(prefix="sheetframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -49,6 +52,12 @@ def small_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read, wherever Spark's file systems keep it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as no column of df has."""
     while name in df.columns:

@@ -27,10 +27,11 @@ FAMILIES = {
 }
 #: Tokens of a stretch (the whole item if that is shorter), and percent of them that must be equal.
 STRETCH, PERCENT = 16, 75
-#: A checked bound of broadcasts, in seeds of the test items (some 100 bytes each).
+#: A checked bound of broadcasts, in seeds of the test items (five numbers each, some 60 bytes).
 BROADCAST_SEEDS = 200_000
-#: The same for the alignments found (each with its item's tokens, some 500 bytes).
-BROADCAST_PLACES = 50_000
+#: The same for the alignments found (four numbers each, some 50 bytes), and for the bytes of the items' tokens, which are broadcast once.
+BROADCAST_PLACES = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -70,7 +71,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be over 0 and at most 100")
-    items = benchmark.select(F.col(item_key).cast("long").alias("item"), tokens(F.col(item_text)).alias("h")).where(F.col("item").isNotNull() & (F.size("h") > 0))
+    items = benchmark.select(F.col(item_key).alias("item"), tokens(F.col(item_text)).alias("h")).where(F.col("item").isNotNull() & (F.size("h") > 0))
     items = items.withColumn("form", F.xxhash64(F.array_join("h", " "))).dropDuplicates(["item", "form"])  # an id may have several texts
     # Items of one family of masks are those of some widths, at most `stretch` of them.
     width = F.least(F.size("h"), F.lit(stretch))
@@ -88,11 +89,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     places = kept(hits.select("_key", "item", "form", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     few = places.limit(broadcast_places + 1).count() <= broadcast_places
     known = items.select("item", "form", F.col("h").alias("item_h"))
-    places = places.join(F.broadcast(known) if small else known, ["item", "form"])
+    light = small and (known.agg(F.sum(F.octet_length(F.array_join("item_h", " ")) + 24 * F.size("item_h") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     # Only texts with an alignment are read as tokens again.
     found_keys = places.select("_key").distinct()
     rows = texts.join(F.broadcast(found_keys) if few else found_keys, "_key", "left_semi").select("_key", tokens(F.col("t")).alias("h"))
-    hits = rows.join(F.broadcast(places) if few and small else places, "_key")
+    hits = rows.join(F.broadcast(places) if few else places, "_key").join(F.broadcast(known) if light else known, ["item", "form"])
     # The part of the text that lies along the item, null where the text has ended or not begun.
     shift = F.col("shift")
     size = F.size("item_h")

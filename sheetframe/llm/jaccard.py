@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common as C
 from .components import components
@@ -270,8 +271,11 @@ def similarity_components(docs: DataFrame, text: str = "text", key: str = "doc_i
     Texts link when 100 * |intersection| >= percent * |union|; component_id is the smallest `key` that links reach.
     A-Z count as a-z; words are runs without white space. Texts with fewer than n words are one shingle; null texts
     and those without words are empty and linked with nothing, equal ones neither. Rows whose key is null are linked
-    with nothing and have a null component. Repeated rows get equal results. An empty table gives no rows.
+    with nothing and have a null component. Repeated rows get equal results. An empty table gives no rows. Keys are whole
+    numbers; others are a TypeError (number them first).
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must hold whole numbers")
     spark = docs.sparkSession
     C.small_arrow(spark)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))

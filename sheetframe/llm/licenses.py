@@ -59,7 +59,7 @@ SPELLINGS = (
 #: A line of copyright, in lower case.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
-#: Spelling changes shorten a unit eight times at most ("version" is never made shorter), so longer ones can't match.
+#: Spelling changes leave at least an eighth of the letters and digits, so a unit with more than eight times those of the longest known text can't match.
 SHRINK = 8
 
 
@@ -157,8 +157,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known=KNOWN,
         places = F.filter(places, lambda p: (p["i"] + p["k"] <= F.size("bl")) & (p["k"] < F.size("bl")))
         scopes.append(F.transform(places, lambda p: F.struct(F.lit("block").alias("scope"), F.array_join(F.slice("bl", p["i"] + 1, p["k"]), "\n").alias("u"))))
     units = rows.select("_key", F.explode(F.concat(*scopes)).alias("x")).select("_key", "x.scope", F.col("x.u").alias("u"))
-    # Units that begin with another word than any spelling of a known text, or are far longer than all, can't match.
-    units = units.where(F.regexp_extract("u", r"^[ \n]*([^ \n]*)", 1).isin(first_words(known)) & (F.length("u") <= limit)).select("_key", "scope", digest(spelled(F.col("u"))).alias("digest"))
+    # Units that begin with another word than any spelling of a known text, or have far more letters than all, can't match.
+    units = units.where(F.regexp_extract("u", r"^[ \n]*([^ \n]*)", 1).isin(first_words(known)) & (F.length(F.translate("u", " \n", "")) <= limit)).select("_key", "scope", digest(spelled(F.col("u"))).alias("digest"))
     hits = units.join(F.broadcast(table.select("license", "digest")), "digest")
     count = lambda s: F.count(F.when(F.col("scope") == s, 1))
     return hits.groupBy("_key", "license").agg(count("whole").alias("n_whole"), count("block").alias("n_blocks"), count("line").alias("n_lines")).withColumnRenamed("_key", key)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import meeting
 
 BACKOFF, UNSEEN = 0.4, 0.5
 
@@ -44,24 +45,14 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first)
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """The bytes of x by significance, so that those that are mostly zero lie together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
-
-
 def pack(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted distinct keys and counts as bytes."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    raw = _planes(steps).tobytes() + _planes(np.minimum(n, 2**32 - 1).astype(np.uint32)).tobytes()
-    return len(keys).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Sorted distinct keys and 64-bit counts as bytes."""
+    return meeting.pack(keys, n)
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int.from_bytes(packed[:8], "little")
-    raw = np.frombuffer(pa.decompress(packed[8:], decompressed_size=12 * size, codec="zstd", asbytes=True), np.uint8)
-    steps = np.ascontiguousarray(raw[: 8 * size].reshape(8, size).T).view(np.uint64).ravel()
-    n = np.ascontiguousarray(raw[8 * size :].reshape(4, size).T).view(np.uint32).ravel()
-    return np.cumsum(steps, dtype=np.uint64), n.astype(np.int64)
+    keys, n = meeting.unpack(packed)
+    return keys, n.astype(np.int64)
 
 
 def tallied(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    out = sharding.byte_shards(rows, 16, order=("doc_id", "text_crc32"))
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole).alias("text_hash"))
+    out = sharding.byte_shards(rows, 16, order=("text_crc32", "text_hash", "doc_id"))  # equal texts follow each other
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import duckdb
 import pytest
@@ -30,18 +31,22 @@ def test_against_sql(spark, duck, name):
     assert sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=str) == expected
 
 
-def test_sharding_law(spark, duck):
+def test_sharding_row_by_row(spark, duck):
+    """Every row's shard and slot, from a plain prefix sum over the order of crc, hash and id."""
     import zlib
 
-    rows = QUERIES.op1_sharding(spark, SF).collect()
-    docs = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
-    assert sorted(r.doc_id for r in rows) == sorted(docs)
-    sizes = [0] * 16
-    for r in rows:
-        raw = docs[r.doc_id].encode()
-        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
-        sizes[r.shard] += r["size"]
-    assert max(abs(s - sum(sizes) / 16) for s in sizes) <= max(r["size"] for r in rows)
+    import xxhash
+
+    docs = duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
+    signed = lambda raw: xxhash.xxh64_intdigest(raw, 42) - (1 << 64 if xxhash.xxh64_intdigest(raw, 42) >> 63 else 0)
+    rows = sorted((zlib.crc32(t.encode()), signed(t.encode()), d, len(t.encode()) + 1) for d, t in docs)
+    total, begin, slots, want = sum(r[3] for r in rows), 0, [0] * 16, {}
+    for crc, _, d, size in rows:
+        shard = min(15, (2 * begin + size) * 16 // (2 * total))
+        want[d] = (size, crc, "bytes", shard, slots[shard], None)
+        begin, slots[shard] = begin + size, slots[shard] + 1
+    found = {r.doc_id: tuple(r)[1:] for r in QUERIES.op1_sharding(spark, SF).collect()}
+    assert found == want
 
 
 def test_bpe_digests(spark, duck):
@@ -56,12 +61,12 @@ def test_bpe_digests(spark, duck):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    """On the tenth-scale table: the held-out fifth is told apart without having been seen."""
+    """On the tenth-scale table: both classes of the held-out fifth are told apart without having been seen."""
     big = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{big}/labels.parquet")
     rows = QUERIES.op6_toxicity(spark, big).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
-    right = sum(r.predicted == r.toxic for r in rows)
-    assert right >= 0.97 * len(rows)
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert sum(toxic) >= 0.88 * len(toxic) and sum(clean) <= 0.01 * len(clean)
 
 
 def test_classifier_on_labels(spark):
@@ -70,55 +75,117 @@ def test_classifier_on_labels(spark):
     assert sum(r.kept == (r.quality == 1) for r in rows) >= 0.9 * len(rows)
 
 
+def brute_stage(name, before, labels, items, model):
+    """What a plain computation makes of the rows (dicts) before a stage."""
+    from test_operators import brute_jaccard, brute_lines
+
+    from sheetframe.llm import toxicity
+
+    if name == "toxicity":
+        read = toxicity.Reader(model)
+        return [r for r in before if model.score(read.text(r["text"] or "")) < 0.5]
+    if name == "line_dedup":
+        texts = {d: t for d, t, *_ in brute_lines([(r["doc_id"], r["text"]) for r in before], 40, 5)}
+        return [{**r, "text": texts[r["doc_id"]], "n_chars": len(texts[r["doc_id"]])} for r in before]
+    if name == "jaccard_join":
+        found = brute_jaccard([(r["doc_id"], r["text"]) for r in before], 5, 80)
+        return [r for r in before if r["doc_id"] is None or found[r["doc_id"]][1] == r["doc_id"]]
+    if name == "decontamination":
+        norm = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+        texts = [(i, norm(r["text"])) for i, r in enumerate(before)]
+        hit = {i for i, _ in brute_near(texts, [(k, norm(t)) for k, t in items])}
+        return [r for i, r in enumerate(before) if i not in hit or r["doc_id"] is None]
+    raise KeyError(name)
+
+
+def brute_near(texts, items, stretch=16, percent=75):
+    """Pairs of text and item with enough equal tokens along some alignment: alignments are those of any equal token, so none is missed."""
+    out = set()
+    for k, item in items:
+        b = item.split()
+        at = {}
+        for j, x in enumerate(b):
+            at.setdefault(x, []).append(j)
+        w = min(len(b), stretch)
+        for i, text in texts:
+            by = {}
+            for p, x in enumerate(text.split()):
+                for j in at.get(x, ()):
+                    by.setdefault(p - j, []).append(j)
+            for js in by.values():
+                js.sort()
+                if len(js) * 100 >= w * percent and any(100 * sum(1 for j in js if a <= j < a + w) >= w * percent for a in range(len(b) - w + 1)):
+                    out.add((i, k))
+                    break
+    return out
+
+
 def test_pipeline(spark):
-    """Each stage against what a plain computation keeps of its own input."""
+    """Each stage against what a plain computation makes of its own input, and the whole against its stages."""
+    import tiktoken
+
     import corpus_pipeline as P
-    from test_operators import brute_jaccard, brute_lines
+    import public_tokenizers
+
+    from sheetframe.llm import toxicity
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    held = docs
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    model = toxicity.fit(docs, labels)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=QUERIES.ranks(), special_tokens={})
     for name, stage in P.STAGES:
         held = stage(spark, docs, SF).cache()
-        before, after = docs.collect(), held.collect()
-        if name != "byte_bpe":
+        before, after = [r.asDict() for r in docs.collect()], [r.asDict() for r in held.collect()]
+        if name == "byte_bpe":
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            ids = {r["doc_id"]: library.encode_ordinary(r["text"]) for r in before}
+            assert {r["doc_id"]: tuple(r.values())[1:] for r in after} == {r["doc_id"]: (len(ids[r["doc_id"]]), sha(",".join(map(str, ids[r["doc_id"]]))), sha(r["text"])) for r in before}
+        else:
             assert held.schema.names == docs.schema.names
-        if name == "toxicity":
-            labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-            assert not [r for r in before if labels.get(r.doc_id) == 0 and r not in after]
-        elif name == "line_dedup":
-            want = {d: t for d, t, *_ in brute_lines([(r.doc_id, r.text) for r in before], 40, 5)}
-            assert {r.doc_id: r.text for r in after} == want and all(r.n_chars == len(r.text) for r in after)
-        elif name == "jaccard_join":
-            want = brute_jaccard([(r.doc_id, r.text) for r in before])
-            assert sorted(r.doc_id for r in after) == sorted(d for d, (_, c) in want.items() if c == d)
-        elif name == "decontamination":
-            items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            gone = {r.doc_id for r in before} - {r.doc_id for r in after}
-            assert all((r.doc_id in gone) or not any(i in r.text for i in items) for r in before)
+            assert sorted(map(str, after)) == sorted(map(str, brute_stage(name, before, labels, items, model))), name
+            assert name in ("toxicity", "line_dedup") or len(after) < len(before), name  # a few toxic rows teach nothing; see below
         docs = held
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
 
 
-def test_near_duplicates_of_the_pipeline(spark):
-    """Five words and 80 %: against brute force, and on a text that 3 words and 90 % would keep."""
+def test_toxicity_stage_drops_toxic_rows(spark):
+    """At the hundredth scale, where labels suffice to learn from: rows that stay and go, by label."""
     import corpus_pipeline as P
-    from test_operators import brute_jaccard, near
 
-    base = [f"w{i}" for i in range(100)]
-    changed = [*base[:30], "x", *base[31:60], "y", *base[61:]]
-    docs = [(1, " ".join(base)), (2, " ".join(changed)), *((i + 3, t) for i, t in enumerate(near(5)))]
-    left = P.one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
-    want = {d for d, (_, c) in brute_jaccard(docs, 5, 80).items() if c == d}
-    assert sorted(r.doc_id for r in left) == sorted(want) and 2 not in want
-    assert {d for d, (_, c) in brute_jaccard(docs, 3, 90).items() if c == d} != want
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    left = {r.doc_id for r in P.clean_language(spark, docs, sf).select("doc_id").collect()}
+    toxic, clean = ([r.doc_id in left for r in labels.where(f"toxic = {y}").collect()] for y in (1, 0))
+    assert sum(toxic) <= 0.45 * len(toxic) and sum(clean) >= 0.99 * len(clean)
 
-    held = table = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in P.STAGES:
-        before, held = held, stage(spark, held, SF).cache()
-        if name == "jaccard_join":
-            assert sorted(r.doc_id for r in held.collect()) == sorted(d for d, (_, c) in brute_jaccard([(r.doc_id, r.text) for r in before.collect()], 5, 80).items() if c == d)
-    assert table.count() > held.count() and sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, held.collect()))
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables, through every stage."""
+    import corpus_pipeline as P
+    from test_operators import LONG, ODD, SHARED
+
+    item = " ".join(f"bench{i}" for i in range(30))
+    rows = [*ODD, (30, f"{LONG} tail"), (31, f"before {item} after"), (31, f"before {item} after"), (32, "you trash idiot. you idiot"), (33, None), (None, None), (None, ""), (34, f"{SHARED}\nx")]
+    clash = ("toxicity", "__toxicity", "toxicity_score", "n_lines", "n_dropped", "component_id", "item", "ids", "leads", "id", "t", "row")
+    table = [(d, t, "en", "s", len(t or ""), *("kept" for _ in clash)) for d, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    for name, some in (("full", table), ("none", [])):
+        place = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(f"{place}/documents.parquet")
+        spark.createDataFrame([(1, item), (2, None), (3, "")] if some else [], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+        spark.createDataFrame([(1, None, None), (None, 1, 1)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+        docs = spark.read.parquet(f"{place}/documents.parquet")
+        for stage, f in P.STAGES[:-1]:
+            out = f(spark, docs, str(place))
+            assert out.schema.names == docs.schema.names, stage
+            assert {r[c] for r in out.collect() for c in clash} <= {"kept"}, stage
+            docs = out.cache()
+        left = [r.doc_id for r in docs.collect()]
+        assert P.run(spark, str(place)).count() == len(left)
+        if some:
+            assert left.count(None) == sum(d is None for d, _ in rows) and not {31, 2, 8, 10} & set(left) and {1, 3, 4, 5, 6, 7, 9, 11, 33} <= set(left)
 
 
 def test_near_duplicates_without_and_with_repeated_ids(spark):

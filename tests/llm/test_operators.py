@@ -135,6 +135,30 @@ def test_lines(odd, none, chars, docs):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_one_id_with_several_texts(spark):
+    docs = [(0, f"a0\n{SHARED}"), (0, "x\nthis line is nobody else's and stays\nz"), *((i, f"{SHARED}\nown {i}") for i in range(1, 6)), (0, f"a0\n{SHARED}")]
+    for limit in (lines.BROADCAST_BYTES, 0):
+        found = lines.dedup_lines(spark.createDataFrame(docs, SCHEMA), broadcast_bytes=limit).collect()
+        assert sorted(map(tuple, found), key=str) == brute_lines(docs, 40, 5)
+
+
+# ---- hashes ----
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_patterned_words_do_not_collide(spark):
+    """Words that collide under any polynomial modulo a power of two, through every operator that hashes words or lines."""
+    x = thue_morse(2048)
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{x}\n{y}"), (2, f"{x} c d"), (3, f"{y} c d"), (4, x), (5, y)], SCHEMA)
+    assert {r.n_dup_lines for r in quality.measure(docs).collect()} == {0}
+    assert all(r.component_id == r.doc_id for r in jaccard.similarity_components(docs, n=1, percent=60).collect() if r.doc_id != 1)
+    assert sorted(map(tuple, lm.scores(docs.withColumn("text", F.col("text"))).select("doc_id", "n_words", "n_backed_off", F.round("lm_score", 6)).collect()), key=str) == brute_lm([tuple(r) for r in docs.collect()])
+
+
 # ---- n-gram Jaccard ----
 
 
@@ -271,7 +295,7 @@ def test_packing():
 
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**64 - 1, 1000, dtype=np.uint64))
-    n = rng.integers(1, 2**20, len(keys))
+    n = rng.integers(1, 2**62, len(keys))
     k, c = lm.unpack(lm.pack(keys, n))
     assert (k == keys).all() and (c == n).all()
 
@@ -298,7 +322,7 @@ def test_toxicity_learns_beginnings_of_words(spark, odd, none):
     docs, labels = toxic_corpus()
     d, ls = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([*labels, (None, 1, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(d, ls)
-    assert "zorg" in model.prefixes
+    assert any(p.startswith("zorg") or p == "zor" for p in model.prefixes)
     rows = toxicity.score(d, model).select("doc_id", "toxicity", toxicity.held_out(F.col("doc_id")).alias("held")).collect()
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all((r.toxicity >= 0.5) == (r.doc_id % 4 == 0) for r in rows if r.held)
@@ -308,15 +332,53 @@ def test_toxicity_learns_beginnings_of_words(spark, odd, none):
     assert toxicity.fit(none, ls).words and toxicity.fit(d, ls.where("toxic = 0")).words
 
 
-def test_grammar():
-    machine = toxicity.Transducer(toxicity.Lexicon({"grub": 4.0}, {"vex": 2.0}))
-    clause = lambda t: machine.clause(t.split())
-    assert clause("a plain clause") == 0 and clause("grub") == 4.0 and clause("you grub") == 5.0
-    assert clause("vexes") == 0 and toxicity.Transducer(toxicity.Lexicon({}, {"vexe": 2.0})).clause(["vexes"]) == 2.0
-    assert clause("not a grub") == pytest.approx(1.2) and clause("said grub") == pytest.approx(1.6)
-    assert clause("will kill") == toxicity.PRIOR and clause("kill time") == 0
-    assert machine.evidence("A GRUB. fine. grub, you", machine.matcher()) == 4.0 + 5.0
-    assert machine.evidence("agrub grubs", machine.matcher()) == 0.0
+def brute_events(symbols, reach, negate=True, report=True, target=True):
+    """What the four transducers say of a clause, read off its definition."""
+    out, end = [], "t" if target and "T" in symbols else ""
+    for i, x in enumerate(symbols):
+        if x == "K":
+            x = "X" if "M" in symbols[max(0, i - reach) : i] else "."
+        if x in "IX":
+            x += "n" * (negate and "N" in symbols[max(0, i - reach) : i]) + "r" * (report and "R" in symbols[:i])
+        out.append(x if x[0] in "IX" else ".")
+    return out, end
+
+
+@pytest.mark.parametrize("off", [{}, {"negate": False}, {"report": False}, {"target": False}])
+def test_composition_of_transducers(off):
+    rng = random.Random(5)
+    for reach in (1, 4):
+        machine = toxicity.grammar(reach, **off)
+        for _ in range(1500):
+            symbols = [rng.choice("IKMTNR...") for _ in range(rng.randrange(0, 12))]
+            assert machine.run(symbols) == brute_events(symbols, reach, **off), symbols
+
+
+def test_clauses():
+    read = toxicity.Reader(toxicity.Lexicon({"grub": 4.0}, {"vexe": 2.0}))
+    clause = lambda t: read.clause(t.split())
+    assert clause("a plain clause") == {} and clause("grub") == {"I": 4.0} and clause("you grub") == clause("grub you") == {"It": 4.0}
+    assert clause("vexe") == {} and clause("vexes grub grub") == {"I": 4.0}  # repeating a word in its clause adds nothing
+    assert clause("not a grub") == {"In": 4.0} and clause("said vexes") == {"Ir": 2.0} and clause("nicht du grub") == {"Int": 4.0}
+    assert clause("will kill you") == {"Xt": toxicity.PRIOR} and clause("kill time") == {}
+    assert read.text("A GRUB. fine. grub, you") == {"I": 4.0, "It": 4.0} and read.text("agrub grubs") == {}
+    far = " ".join(["word"] * 4000)
+    assert read.text(f"grub {far} you. grub") == {"It": 4.0, "I": 4.0} and read.text(f"not. grub {far}") == {"I": 4.0}
+
+
+def test_every_transducer_changes_verdicts():
+    """Toxic texts insult somebody; clean ones deny it, quote it or insult nobody. Without a transducer, the model can't tell."""
+    lexicon = lambda: toxicity.Lexicon({"grub": 4.0})
+    texts = [("you are a grub", True)] * 60 + [("nobody is a grub", False)] * 40 + [("she said he is a grub", False)] * 40 + [("a grub in the garden", False)] * 40
+    verdicts = {}
+    for off in ("", "negate", "report", "target"):
+        machine = toxicity.grammar(**({off: False} if off else {}))
+        read = toxicity.Reader(lexicon(), machine)
+        points = [([read.text(t).get(p, 0.0) for p in toxicity.PATTERNS], y, 1) for t, y in texts]
+        model = toxicity._weighted(lexicon(), points, ridge=0.1)
+        verdicts[off] = [model.score(read.text(t)) >= 0.5 for t in ("you are a grub", "you are not a grub", "he said you are a grub", "a grub in the garden")]
+    assert verdicts[""] == [True, False, False, False]
+    assert all(verdicts[off] != verdicts[""] for off in ("negate", "report", "target"))
 
 
 # ---- classifier ----
@@ -348,6 +410,9 @@ def test_licenses(spark, odd, none):
     found = {(r.doc_id, r.license): (r.n_whole, r.n_blocks, r.n_lines) for r in licenses.scan(spark.createDataFrame(docs, SCHEMA)).collect()}
     assert found == {(1, "MIT"): (1, 1, 0), (2, "MIT"): (0, 0, 1), (3, "Apache-2.0"): (1, 0, 1), (6, "MIT"): (0, 1, 0), (9, "CC-BY-NC-4.0"): (0, 0, 2)}
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
+    far = [(1, licenses.MIT + "\n" * 9000), (2, "Released under the MIT License.\n" + "\n \n" * 20_000), (3, licenses.MIT.replace(" ", " " * 40))]
+    found = {r.doc_id: (r.license, r.n_whole) for r in licenses.scan(spark.createDataFrame(far, SCHEMA)).collect()}
+    assert found == {1: ("MIT", 1), 2: ("MIT", 1), 3: ("MIT", 1)}  # white space is no part of a text, however much
 
 
 def test_full_and_embedded_licenses(spark):
