@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
@@ -279,28 +280,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if not n1 or not n0:
         return lexicon
 
-    def features(held=None):
-        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                pairs = set()
-                for t in batch.column(0).to_pylist():
-                    found = _features(t)
-                    pairs.update(found.items() if held is None else ((f, found[f]) for f in found.keys() & held.value))
-                pairs = list(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([a for _, a in pairs], pa.int64())], names=["f", "around"])
+    def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = sorted({pair for t in batch.column(0).to_pylist() for pair in _features(t).items()})
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([a for _, a in pairs], pa.int64())], names=["f", "around"])
 
-        return emit
-
-    def texts_of(y: bool, held=None) -> DataFrame:
-        """How many different texts have a feature."""
-        found = rows.where(F.col("y") == y).select("t").mapInArrow(features(held), "f string, around long")
-        return found.groupBy("f", "around").agg(F.lit(1).alias("one")).groupBy("f").agg(F.count("*").alias("texts"))
-
-    toxic_texts = C.kept(texts_of(True))
+    # Different texts with a feature: those whose least surroundings differ.
+    found = rows.where("y").select("t").mapInArrow(of_toxic, "f string, around long")
+    toxic_texts = C.kept(found.groupBy("f", "around").agg(F.lit(1).alias("one")).groupBy("f").agg(F.count("*").alias("texts")))
     tried = toxic_texts.count()
     toxic = {r["f"]: r["texts"] for r in toxic_texts.where(F.col("texts") >= SUPPORT).collect()}  # bounded by the sample
     held = spark.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["f"]: r["texts"] for r in texts_of(False, held).collect()}
+
+    def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter(f for t in batch.column(0).to_pylist() for f in _features(t).keys() & held.value)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["f", "texts"])
+
+    # Of clean texts copies count, which can only lower a feature's strength.
+    clean = {r["f"]: r["texts"] for r in rows.where("not y").select("t").mapInArrow(of_clean, "f string, texts long").groupBy("f").agg(F.sum("texts").alias("texts")).collect()}
     names = sorted(toxic)
     s, s0 = (np.array([c.get(f, 0) for f in names], float) for c in (toxic, clean))
     strength = np.log((s + 0.5) / (n1 + 1)) - np.log((s0 + 0.5) / (n0 + 1))
