@@ -27,6 +27,8 @@ def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def place(spark: SparkSession, sf_dir: str) -> str:
     """A folder that all executors see: in spark.checkpoint.dir where a cluster names one, else (tests, one machine) a temporary one that later sessions find again."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = re.sub("^file:/*", "/", shared) if shared else tempfile.gettempdir()
     if "://" in root:
         raise ValueError("workbooks are written to a mounted folder; spark.checkpoint.dir is none")

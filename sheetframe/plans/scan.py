@@ -63,6 +63,8 @@ class Plan:
     n_rows: int
     epoch_1904: bool
     styles: list[bool]
+    #: Columns in which no cell has a type.
+    bare: list[int] = field(default_factory=list)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -164,6 +166,19 @@ def type_of(kinds: set[str]) -> str:
     return {frozenset({"bool"}): "boolean", frozenset({"date"}): "timestamp_ntz"}.get(frozenset(kinds), "string")
 
 
+def common_types(plans: list[Plan]) -> list[str]:
+    """The join of the column types of sheets with the same columns; a column without typed cells fits any type."""
+    names = [n for n, _ in plans[0].fields()]
+    for p in plans:
+        if [n for n, _ in p.fields()] != names:
+            raise ValueError(f"{p.path} has columns {[n for n, _ in p.fields()]}, not {names}")
+    out = []
+    for i in range(len(plans[0].types)):
+        found = {p.types[i] for p in plans if i not in p.bare}
+        out.append(found.pop() if len(found) == 1 else "double" if found == {"long", "double"} else "string")
+    return out
+
+
 def merge(parts: list[dict], options: Options) -> tuple[int | None, list, dict[int, int], list[set[str]], list[int]]:
     """Header row and its cells, date locks, kinds of the columns, rows of each split without header and skipped ones."""
     width = max([0, *(p["width"] for p in parts)])
@@ -255,7 +270,7 @@ def plan(path: str, options: Options, run: Runner | None = None, workbook: Workb
     for (lo, hi), n in zip(ranges, counts, strict=True):
         splits.append((lo, hi, before))
         before += n
-    return Plan(path, part, options, whole, splits, header_row, names, types, locks, before, options.epoch_1904 and book.date1904, dates)
+    return Plan(path, part, options, whole, splits, header_row, names, types, locks, before, options.epoch_1904 and book.date1904, dates, [i for i in range(len(names)) if i >= len(kinds) or not kinds[i]])
 
 
 def _summary(path: str, part: str, options: Options, dates: list[bool]) -> Callable[[tuple], dict]:
@@ -302,7 +317,7 @@ def convert(kind: np.ndarray, raw: pa.Array, date: np.ndarray, to: str, epoch_19
     number = (kind == X.INT) | (kind == X.FLOAT)
     keep = lambda on: pc.if_else(pa.array(on), raw, pa.scalar(None, raw.type))
     if to == "long":
-        return pc.cast(pc.replace_substring_regex(keep(number), r"^\+", ""), pa.int64())
+        return pc.cast(pc.replace_substring_regex(keep(kind == X.INT), r"^\+", ""), pa.int64())
     if to == "double":
         text = pc.replace_substring_regex(keep(number), r"^\+", "")
         try:

@@ -16,7 +16,7 @@ from .operators import reader as R
 from .plans.scan import Options
 from .sources import sinks
 from .sources.opc import Workbook
-from .sources.writer import temporary
+from .sources.writer import raw_xlsx, temporary
 from .sources.xlsx import sheet
 from .streaming.workbooks import drain, stream_sheet
 
@@ -46,9 +46,8 @@ INTS = {
     "region": "r_regionkey", "nation": "n_nationkey n_regionkey", "customer": "c_nationkey", "supplier": "s_nationkey", "part": "p_size", "orders": "", "lineitem": "l_linenumber l_quantity",
     "events": "", "pages": "", "documents": "",
 }
-TEXTS = {"pages": "page_id, url, left(html, 32000) AS html", "documents": "doc_id, left(text, 32000) AS text, lang, source, n_chars"}
 #: Columns of the table as the sheet gives them back: whole numbers are 64-bit, times are to the millisecond.
-SELECT = {t: TEXTS.get(t) or "* REPLACE (" + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in cs.split()) + ")" if cs else TEXTS.get(t, "*") for t, cs in INTS.items()}
+SELECT = {t: "* REPLACE (" + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in cs.split()) + ")" if cs else "*" for t, cs in INTS.items()}
 SELECT["events"] = "* REPLACE (date_trunc('milliseconds', ts) AS ts)"
 
 
@@ -406,6 +405,36 @@ def scan_directory(spark, sf_dir):
     return load(spark, place)
 
 
+def _named(folder: str, name: str, cells: list[tuple]) -> None:
+    """A workbook in folder: columns k, n, v; a text is a text, None no cell, other values numbers."""
+    head = "".join(f'<c r="{c}1" t="str"><v>{h}</v></c>' for c, h in zip("ABC", "knv", strict=True))
+    cell = lambda c, r, x: "" if x is None else f'<c r="{c}{r}" t="str"><v>{x}</v></c>' if isinstance(x, str) else f'<c r="{c}{r}"><v>{x}</v></c>'
+    rows = "".join(f'<row r="{r}">{"".join(cell(c, r, x) for c, x in zip("ABC", xs, strict=True))}</row>' for r, xs in enumerate(cells, 2))
+    raw_xlsx(f"{folder}/{name}.xlsx", {"Sheet1": f'<worksheet><sheetData><row r="1">{head}</row>{rows}</sheetData></worksheet>'})
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(1 AS DOUBLE), '7'), (2, 2, '8'), (3, 2.5, 'x'), (4, NULL, NULL)) AS t(k, n, v)")
+def scan_directory_mixed_types(spark, sf_dir):
+    """Types join over the files of a directory: whole numbers with others, numbers with texts, and nothing with anything."""
+    folder = temporary()
+    _named(folder, "a", [(1, 1, 7), (2, 2, 8)])
+    _named(folder, "b", [(3, 2.5, "x")])
+    _named(folder, "c", [(4, None, None)])
+    return load(spark, folder)
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(10 AS BIGINT), 'm'), (2, 20, 'm'), (3, 30, 'b'), (4, 40, 'b'), (5, 50, 'z')) AS t(k, n, v)")
+def stream_late_file(spark, sf_dir):
+    """A stream over a directory, stopped and started again: a file that appears later is read once, also if its name comes first."""
+    folder, out = temporary(), temporary()
+    files = {"m": [(1, 10, "m"), (2, 20, "m")], "b": [(3, 30, "b"), (4, 40, "b")], "z": [(5, 50, "z")]}
+    for name, cells in files.items():
+        _named(folder, name, cells)
+        stream = stream_sheet(spark, folder, "k long, n long, v string")
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 _Q1 = """SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
 round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus"""
 

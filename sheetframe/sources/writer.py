@@ -131,4 +131,16 @@ def raw_xlsx(path: str, sheet_xml: dict[str, str], strings: str | None = None, s
 
 
 def temporary(prefix: str = "sheetframe-") -> str:
-    return tempfile.mkdtemp(prefix=prefix)
+    """A new folder that all executors see: in spark.checkpoint.dir where it is set, on a local master in the machine's own, else an error."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    shared = spark.conf.get("spark.checkpoint.dir", None) if spark else None
+    if shared is None and spark is not None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = re.sub("^file:/*", "/", shared) if shared else None
+    if root and "://" in root:
+        raise ValueError("workbooks are written to a mounted folder; spark.checkpoint.dir is none")
+    if root:
+        os.makedirs(root, exist_ok=True)
+    return tempfile.mkdtemp(prefix=prefix, dir=root)

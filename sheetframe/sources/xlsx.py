@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..plans.scan import Options, Plan, plan, read
+from ..plans.scan import Options, Plan, common_types, plan, read
 from .opc import Workbook
 
 
@@ -52,7 +52,7 @@ class Split(InputPartition):
 
 
 class XlsxReader(DataSourceReader):
-    """Splits of all files of a path. The files of a directory must have the first one's columns."""
+    """Splits of all files of a path. The files of a directory have the same columns, whose types are joined over all of them."""
 
     def __init__(self, plans: list[str]):
         self.plans = plans
@@ -66,31 +66,29 @@ class XlsxReader(DataSourceReader):
 
 
 class XlsxStream(DataSourceStreamReader):
-    """Splits in order as a stream; files that appear in a directory later are read as they come. An offset is a number of files and of splits of the next one."""
+    """Files as a stream: those of a directory now, and others as they appear, whatever their names.
 
-    def __init__(self, path: str, options: Options, fields: list, per_trigger: int):
-        self.path, self.options, self.fields, self.per_trigger = path, options, fields, per_trigger
+    An offset lists the files seen so far, so a file is read once, also after a restart. Which splits a file has is found
+    out once, when it is read. Values that don't fit the stream's schema are null, as the schema can't widen any more.
+    """
 
-    def _all(self) -> list[tuple[str, int]]:
-        out = []
-        for f in files(self.path):
-            n = len(conform(plan(f, self.options), self.fields).splits)
-            out += [(f, i) for i in range(n)]
-        return out
+    def __init__(self, path: str, options: Options, fields: list):
+        self.path, self.options, self.fields = path, options, fields
+        self.seen: set[str] = set()
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"split": 0}
+        return {"files": []}
 
-    def latestOffset(self, start=None, limit=None) -> dict:  # noqa: N802
-        return {"split": len(self._all())}
+    def latestOffset(self) -> dict:  # noqa: N802
+        self.seen.update(f for f in files(self.path) if os.path.exists(f) or "://" in f)
+        return {"files": sorted(self.seen)}
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
-        plans: dict[str, str] = {}
+        self.seen.update(end["files"])
         out = []
-        for f, i in self._all()[start["split"] : end["split"]]:
-            if f not in plans:
-                plans[f] = conform(plan(f, self.options), self.fields).to_json()
-            out.append(Split(plans[f], i))
+        for f in sorted(set(end["files"]) - set(start["files"])):
+            p = conform(plan(f, self.options), self.fields)
+            out += [Split(p.to_json(), i) for i in range(len(p.splits))]
         return out
 
     def read(self, partition: Split) -> Iterator:
@@ -100,8 +98,16 @@ class XlsxStream(DataSourceStreamReader):
         pass
 
 
+def joined(plans: list[Plan]) -> list[Plan]:
+    """Plans of the files of one table, with the types that all of them fit."""
+    if len(plans) < 2 or plans[0].options.mode == "cells":
+        return plans
+    types = common_types(plans)
+    return [replace(p, types=types) for p in plans]
+
+
 def conform(p: Plan, fields: list) -> Plan:
-    """A plan with the types of other files' columns of the same names."""
+    """A plan with given types of its columns."""
     if not fields or p.options.mode == "cells":
         return p
     types = dict(fields)
@@ -124,8 +130,7 @@ class XlsxSource(DataSource):
         found = files(self.options["path"])
         if not found:
             raise ValueError(f"no workbooks at {self.options['path']}")
-        first = plan(found[0], options)
-        return [first.to_json(), *(conform(plan(f, options), first.fields()).to_json() for f in found[1:])]
+        return [p.to_json() for p in joined([plan(f, options) for f in found])]
 
     def schema(self) -> str:
         return Plan.from_json(self._plans()[0]).ddl()
@@ -136,7 +141,7 @@ class XlsxSource(DataSource):
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         kinds = {"bigint": "long", "int": "int", "double": "double", "boolean": "boolean", "timestamp_ntz": "timestamp_ntz", "string": "string"}
         fields = [(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields]
-        return XlsxStream(self.options["path"], options_from(self.options), fields, 1)
+        return XlsxStream(self.options["path"], options_from(self.options), fields)
 
 
 def register(spark: SparkSession) -> None:
@@ -153,9 +158,8 @@ def sheet(spark: SparkSession, path: str, options: Options | None = None, workbo
     o = options or Options()
     plans = [plan(found[0], o, runner(spark), workbook)]
     if len(found) > 1:  # one task for each further file
-        first = plans[0].fields()
-        rest = runner(spark)([(f,) for f in found[1:]], lambda t: {"plan": conform(plan(t[0], o), first).to_json()})
-        plans += [Plan.from_json(x["plan"]) for x in rest]
+        rest = runner(spark)([(f,) for f in found[1:]], lambda t: {"plan": plan(t[0], o).to_json()})
+        plans = joined(plans + [Plan.from_json(x["plan"]) for x in rest])
     df = spark.read.format("xlsx").option("plan", "\n".join(p.to_json() for p in plans)).schema(plans[0].ddl()).load()
     return df, plans
 
