@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .sources.writer import temporary, write_xlsx
 
-VERSION = 4
+VERSION = 5
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
     "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"],

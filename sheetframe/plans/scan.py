@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 from ..sources import cells as X
 from ..sources.opc import Workbook
 
-#: Uncompressed bytes of a split, and splits of a sheet at most: each inflates all that comes before it.
-SPLIT_BYTES, MAX_SPLITS = 16 << 20, 16
+#: Uncompressed bytes of a split, and splits of a sheet at most: each inflates all that comes before it, which takes
+#: INFLATE of the time of reading its cells, so that no number of splits is faster than 1 / INFLATE tasks.
+SPLIT_BYTES, MAX_SPLITS, INFLATE = 16 << 20, 16, 0.06
 
 
 @dataclass
@@ -90,11 +91,11 @@ class Plan:
         return ", ".join("`{}` {}".format(n.replace("`", "``"), t) for n, t in self.fields())
 
 
-def cut(path: str, part: str, options: Options) -> tuple[bool, list[tuple[int, int]]]:
-    """Whether the sheet is one piece, and the byte ranges."""
+def cut(path: str, part: str, options: Options, slots: int = MAX_SPLITS) -> tuple[bool, list[tuple[int, int]]]:
+    """Whether the sheet is one piece, and the byte ranges: no more than tasks that run at once, later ones shorter by what they inflate more."""
     size = X.part_size(path, part)
-    n = options.splits or max(1, min(MAX_SPLITS, size // SPLIT_BYTES))
-    edges = [size * i // n for i in range(n + 1)]
+    n = options.splits or max(1, min(MAX_SPLITS, slots, size // SPLIT_BYTES))
+    edges = [int(size * (1 - (1 - INFLATE) ** i) / (1 - (1 - INFLATE) ** n)) for i in range(n + 1)]
     edges[-1] = max(size, 1)
     return n == 1, list(zip(edges[:-1], edges[1:], strict=True))
 
@@ -253,7 +254,7 @@ def plan(path: str, options: Options, run: Runner | None = None, workbook: Workb
     part = book.part(options.sheet_name, options.sheet_idx)
     dates = book.date_styles(options.strict_dates)
     run = run or (lambda tasks, f: [f(t) for t in tasks])
-    whole, ranges = cut(path, part, options)
+    whole, ranges = cut(path, part, options, getattr(run, "slots", MAX_SPLITS))
     summary = _summary(path, part, options, dates)
     try:
         parts = run([(lo, hi, whole) for lo, hi in ranges], summary)
@@ -307,8 +308,10 @@ def _stamp_text(us: np.ndarray) -> list[str]:
 
 
 def _numbers(raw: pa.Array) -> np.ndarray:
-    texts = raw.to_numpy(zero_copy_only=False)
-    return np.array([float(t) for t in texts], np.float64)
+    try:
+        return pc.cast(pc.replace_substring_regex(raw, r"^\+", ""), pa.float64()).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # infinity in words, a bare point at an end
+        return np.array([float(t) for t in raw.to_pylist()], np.float64)
 
 
 def convert(kind: np.ndarray, raw: pa.Array, date: np.ndarray, to: str, epoch_1904: bool) -> pa.Array:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -50,20 +51,54 @@ def part_size(path: str, part: str) -> int:
             raise ValueError(f"{path}: part {part} is missing") from None
 
 
+class Part:
+    """The bytes of a part in order, in pieces of at most CHUNK. Their checksum is not looked at, as splits stop before the end."""
+
+    def __init__(self, file, info: zipfile.ZipInfo):
+        self.file, self.left = file, info.compress_size
+        file.seek(info.header_offset)
+        head = file.read(30)
+        if head[:4] != b"PK\3\4" or info.flag_bits & 1 or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise zipfile.BadZipFile(f"part {info.filename} can't be read")
+        file.seek(info.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+        self.inflate = zlib.decompressobj(-15) if info.compress_type == zipfile.ZIP_DEFLATED else None
+
+    def _raw(self, most: int) -> bytes:
+        raw = self.file.read(min(most, self.left))
+        if self.left and not raw:
+            raise zipfile.BadZipFile("the file ends within a part")
+        self.left -= len(raw)
+        return raw
+
+    def read(self) -> bytes:
+        """The next piece; none is left when it is empty."""
+        if self.inflate is None:
+            return self._raw(CHUNK)
+        while not self.inflate.eof:
+            raw = self.inflate.unconsumed_tail or self._raw(CHUNK >> 3)
+            out = self.inflate.decompress(raw, CHUNK)
+            if out:
+                return out
+            if not raw:
+                raise zipfile.BadZipFile("a part ends within its data")
+        return b""
+
+
 def _row_chunks(path: str, part: str, lo: int, hi: int) -> Iterator[bytes]:
     """The rows whose tags begin in bytes lo to hi of a part, in pieces of whole rows."""
-    with zipfile.ZipFile(open_file(path)) as z, z.open(part) as f:
-        at = 0
-        while at < lo:  # what comes before
-            got = len(f.read(min(CHUNK, lo - at)))
-            if not got:
+    with open_file(path) as file, zipfile.ZipFile(file) as z:
+        f = Part(file, z.getinfo(part))
+        rest, at = f.read(), 0
+        while at + len(rest) <= lo:  # what comes before
+            at += len(rest)
+            rest = f.read()
+            if not rest:
                 return
-            at += got
         # rest: from byte `base` of the part on, not given out yet
-        rest, base, begun = b"", at, False
+        rest, base, begun = rest[lo - at :], lo, False
         if lo == 0:
             while not (m := _BEGIN.search(rest)) and not _END.search(rest):
-                more = f.read(CHUNK)
+                more = f.read()
                 if not more:
                     return
                 rest += more
@@ -72,7 +107,7 @@ def _row_chunks(path: str, part: str, lo: int, hi: int) -> Iterator[bytes]:
             base, rest, begun = m.end(), rest[m.end() :], True
         last = False
         while not last:
-            more = f.read(CHUNK)
+            more = f.read()
             last = not more
             rest += more
             if b"sheetData" in rest and (end := _END.search(rest, max(0, rest.index(b"sheetData") - 64))):

@@ -39,12 +39,21 @@ def number(x: float) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
 
 
+#: Texts of more characters, and texts beyond so many in the shared-string table, are written into their cells.
+LONG_TEXT, SHARED_TEXTS = 1000, 500_000
+
+
 class SheetWriter:
-    """Rows of one sheet as XML, through a shared-string table. Floats that are not numbers become empty cells."""
+    """Rows of one sheet as XML, short texts through a shared-string table. Floats that are not numbers become empty cells."""
 
     def __init__(self, strings: dict[str, int]):
         self.strings, self.rows = strings, 0
 
+    def text(self, ref: str, text: str) -> str:
+        if text not in self.strings and (len(text) > LONG_TEXT or len(self.strings) >= SHARED_TEXTS):
+            return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+        return f'<c r="{ref}" t="s"><v>{self.strings.setdefault(text, len(self.strings))}</v></c>'
+
     def row(self, values: Iterable) -> str:
         self.rows += 1
         out = [f'<row r="{self.rows}">']
@@ -61,8 +70,7 @@ class SheetWriter:
             elif isinstance(v, (dt.datetime, dt.date)):
                 out.append(f'<c r="{ref}" s="1"><v>{number(serial(v))}</v></c>')
             else:
-                i = self.strings.setdefault(str(v), len(self.strings))
-                out.append(f'<c r="{ref}" t="s"><v>{i}</v></c>')
+                out.append(self.text(ref, str(v)))
         out.append("</row>")
         return "".join(out)
 
@@ -91,11 +99,13 @@ def write_xlsx(path: str, sheets: list[tuple[str, list[str] | None, Iterable[Ite
             with z.open(part(f"xl/worksheets/sheet{i}.xml"), "w", force_zip64=True) as f:
                 f.write(f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<worksheet {_MAIN}><sheetData>'.encode())
                 held = [writer.row(header)] if header is not None else []
+                size = 0
                 for r in rows:
                     held.append(writer.row(r))
-                    if len(held) >= 2000:
+                    size += len(held[-1])
+                    if size >= 1 << 20:
                         f.write("".join(held).encode())
-                        held = []
+                        held, size = [], 0
                 f.write(("".join(held) + "</sheetData></worksheet>").encode())
         names = "".join(f'<sheet name="{escape(n).replace(chr(34), "&quot;")}" sheetId="{i}" r:id="rId{i}"/>' for i, (n, _, _) in enumerate(sheets, 1))
         rels = "".join(f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))

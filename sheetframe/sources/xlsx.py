@@ -183,4 +183,5 @@ def runner(spark: SparkSession):
         done = rows.mapInArrow(work, "i int, r string").collect()
         return [json.loads(r["r"]) for r in sorted(done, key=lambda r: r["i"])]
 
+    run.slots = spark.sparkContext.defaultParallelism
     return run

@@ -1,11 +1,13 @@
 """Hand-written sheets, one for each rule of reading, against literal rows."""
 
 import datetime as dt
+import zipfile
 
 import pytest
 
 from sheetframe.operators.reader import read_xlsx
-from sheetframe.plans.scan import Options, plan, serial_micros
+from sheetframe.plans.scan import Options, cut, plan, serial_micros
+from sheetframe.sources.cells import Part
 from sheetframe.sources.opc import Workbook, is_date_code
 from sheetframe.sources.writer import raw_xlsx, write_xlsx
 from sheetframe.sources.xlsx import sheet
@@ -207,6 +209,43 @@ def test_a_lock_in_a_later_split(spark, tmp_path):
     assert found[0][2][0][0] == "45000" and found[0][2][-1][0] == "2023-03-15 00:00:00"
 
 
+def test_long_texts_are_written_into_their_cells(spark, tmp_path, monkeypatch):
+    from sheetframe.sources import writer
+
+    odd = "a<b>&c ]]> \r\n\t é🎉 &amp; "
+    texts = ["short", odd, odd * 200, "x" * 3_000_000, None, odd * 200, "short", " "]
+    for shared in (500_000, 1):
+        monkeypatch.setattr(writer, "SHARED_TEXTS", shared)
+        p = str(tmp_path / f"long{shared}.xlsx")
+        write_xlsx(p, [("S", ["n", "t"], enumerate(texts))])
+        for n in (1, 3):
+            assert rows(spark, p, splits=n)[2] == list(enumerate(texts))
+
+
+def test_stored_parts_and_broken_files(spark, tmp_path, big):
+    p = str(tmp_path / "stored.xlsx")
+    with zipfile.ZipFile(big) as z, zipfile.ZipFile(p, "w", zipfile.ZIP_STORED) as out:
+        for name in z.namelist():
+            out.writestr(name, z.read(name))
+    for n in (1, 5):
+        assert sorted(rows(spark, p, splits=n)[2]) == sorted(rows(spark, big)[2])
+    with zipfile.ZipFile(big) as z:
+        info = z.getinfo("xl/worksheets/sheet1.xml")
+        with open(big, "rb") as f:
+            info.compress_size //= 2  # as if the data ended there
+            piece = Part(f, info)
+            with pytest.raises(zipfile.BadZipFile):
+                while piece.read():
+                    pass
+
+
+def test_later_splits_are_shorter(big):
+    part = Workbook.open(big).part(None, None)
+    _, ranges = cut(big, part, Options(splits=5))
+    sizes = [hi - lo for lo, hi in ranges]
+    assert ranges[0][0] == 0 and sizes == sorted(sizes, reverse=True) and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_generator_and_cli(spark, tmp_path, capsys, monkeypatch):
     from sheetframe.cli import main
 
