@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import quality as Q
 
-#: Documents that the scorer is trained on at most (those with the smallest hashes of their ids), and its features.
-SAMPLE, BUCKETS = 8_000, 1024
+#: Documents that the scorer is trained on at most (those with the smallest hashes of their ids), and its features: trigrams of kinds, levels, words.
+SAMPLE = 8_000
+TRIGRAMS, LEVELS, WORDS = 512, 512, 512
+BUCKETS = TRIGRAMS + LEVELS + WORDS
 #: name, measure, base, bad from this share of it on (per thousand), plain up to this share. Each votes bad or nothing.
 LABELLERS = (
     ("repeats", "n_repeat_words", "n_words", 500, 150),
@@ -95,22 +97,31 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 3, 4
 
 
 def _features(buf: np.ndarray, offsets: np.ndarray, measures: dict[str, np.ndarray]) -> np.ndarray:
-    """Shares of hashed trigrams of character kinds, and hashed levels of the measured shares; each of length 1."""
+    """Shares of hashed trigrams of character kinds (length 1), hashed levels of the measured shares, and shares of hashed words (length 1)."""
     n = len(offsets) - 1
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     out = np.zeros((n, BUCKETS), np.float32)
     if len(buf) > 2:
         kind = _KIND[buf]
-        grams = ((kind[:-2] * np.uint32(0x9E3779B1)) ^ (kind[1:-1] * np.uint32(0x85EBCA77)) ^ (kind[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(23)  # to 512
+        grams = ((kind[:-2] * np.uint32(0x9E3779B1)) ^ (kind[1:-1] * np.uint32(0x85EBCA77)) ^ (kind[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(23)  # to TRIGRAMS
         on = doc[:-2] == doc[2:]
-        out[:, : BUCKETS // 2] = np.sqrt(np.bincount((doc[:-2] * np.int32(BUCKETS // 2) + grams.astype(np.int32))[on], minlength=n * (BUCKETS // 2)).reshape(n, -1))
-        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        out[:, :TRIGRAMS] = _shares(doc[:-2][on], grams[on].astype(np.int32), n, TRIGRAMS)
+    low = C.lowered(buf)
+    starts, ends, of = C.words(low, offsets)
+    if len(starts):
+        out[:, TRIGRAMS + LEVELS :] = _shares(of, (C.span_hashes(low, starts, ends) % np.uint64(WORDS)).astype(np.int32), n, WORDS)
     for k, (_, measure, base, _, _) in enumerate(LABELLERS):
         level = np.minimum(20, measures[measure] * 20 // np.maximum(measures[base], 1))
-        out[np.arange(n), BUCKETS // 2 + (C.mix((level + 100 * k).astype(np.uint64)) % np.uint64(BUCKETS // 2)).astype(np.int64)] += 0.5
+        out[np.arange(n), TRIGRAMS + (C.mix((level + 100 * k).astype(np.uint64)) % np.uint64(LEVELS)).astype(np.int64)] += 0.5
     return out
 
 
+def _shares(doc: np.ndarray, feature: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Roots of the counts of features by text, each row of length 1 (0 without features)."""
+    out = np.sqrt(np.bincount(doc.astype(np.int64) * width + feature, minlength=n * width).reshape(n, width)).astype(np.float32)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
     buf, offsets = C.text_bytes(batch.column(batch.num_columns - 1))
     for a, b in C.chunks(offsets, 1 << 19):
@@ -166,12 +177,13 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(model.posterior(_votes(m)))], names=["x", "y"])
 
     ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("t")).join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).select("t")
-    rows = chosen.mapInArrow(sampled, "x binary, y double").toArrow()  # at most `sample` rows of 2 KB
+    chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("t")).join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("t").alias("t")).select("t")  # of repeated ids, the least text
+    rows = chosen.mapInArrow(sampled, "x binary, y double").toArrow()  # at most `sample` rows of 3 KB
     if not rows.num_rows:
         return model, Scorer(np.zeros(BUCKETS, np.float32), 1.0)
-    features = np.stack([np.frombuffer(x.as_py(), np.float16) for x in rows.column("x")]).astype(np.float32)
-    return model, train(features, rows.column("y").to_numpy())
+    found = sorted(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True))  # equal tables give equal weights, in whatever order rows come
+    features = np.stack([np.frombuffer(x, np.float16) for x, _ in found]).astype(np.float32)
+    return model, train(features, np.array([y for _, y in found]))
 
 
 def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, text: str = "text", keep: tuple[str, ...] | None = None, threshold: float = 0.5) -> DataFrame:

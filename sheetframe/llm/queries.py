@@ -27,6 +27,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy web/1 removes from documents, alone and with the others, from the counts of the ledger's bit patterns."""
+    return quality.ablations(quality.ledger(quality.measure(table(spark, sf_dir, "documents"), keep=())), "web/1")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -78,7 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_line_dedup, op4_jaccard_join, op5_lm_scoring, op6_toxicity, op7_quality_classifier, op8_license_scan, op9_byte_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_rules, quality_ablations, op3_line_dedup, op4_jaccard_join, op5_lm_scoring, op6_toxicity, op7_quality_classifier, op8_license_scan, op9_byte_bpe, op10_decontamination)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -108,6 +113,16 @@ b AS (SELECT *, CAST({' + '.join(bits)} AS BIGINT) AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (failed_bits & {quality.mask('web/1')}) = 0 AS kept, failed_bits FROM b"""
 
 
+def _ablations_sql() -> str:
+    count = "CAST(count(*) FILTER (WHERE {}) AS BIGINT)"
+    rules = [
+        f"SELECT '{r.name}' AS rule, {count.format(f'h & {1 << r.bit} <> 0')} AS n_failed, {count.format(f'h = {1 << r.bit}')} AS n_only, "
+        f"{count.format('h = 0')} AS n_kept, {count.format(f'h IN (0, {1 << r.bit})')} AS n_kept_without FROM hits"
+        for r in quality.RULES if r.name in quality.POLICIES["web/1"]
+    ]
+    return f"WITH hits AS MATERIALIZED (SELECT failed_bits & {quality.mask('web/1')} AS h FROM ({_quality_sql()})) " + " UNION ALL ".join(rules)
+
+
 _LINES_SQL = f"""
 WITH l AS (SELECT doc_id, i, lines[i] AS line, {_LOWER.format("trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
@@ -176,6 +191,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express. The others are tested by brute force, round trips and held-out rows."""
     return {
         "op2_quality_rules": _quality_sql(),
+        "quality_ablations": _ablations_sql(),
         "op3_line_dedup": _LINES_SQL,
         "op4_jaccard_join": _JACCARD_SQL,
         "op5_lm_scoring": _LM_SQL,
