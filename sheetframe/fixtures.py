@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
 import random
 import re
@@ -32,7 +33,8 @@ def place(spark: SparkSession, sf_dir: str) -> str:
     root = re.sub("^file:/*", "/", shared) if shared else tempfile.gettempdir()
     if "://" in root:
         raise ValueError("workbooks are written to a mounted folder; spark.checkpoint.dir is none")
-    out = os.path.join(root, "sheetframe-fixtures", f"{os.path.basename(os.path.normpath(sf_dir))}-{VERSION}-{os.getuid()}")
+    whole = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]  # folders of one name in different places are different tables
+    out = os.path.join(root, "sheetframe-fixtures", f"{os.path.basename(os.path.normpath(sf_dir))}-{whole}-{VERSION}-{os.getuid()}")
     os.makedirs(out, exist_ok=True)
     return out
 
