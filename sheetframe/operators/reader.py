@@ -64,20 +64,33 @@ class XlsxReader:
         Tasks run in file order, one split ahead of the reader; the sheet is never on the driver as a whole.
         """
         frame, _ = sheet(self.spark, self.path, replace(self.options, metadata=False), self.workbook)
-        schema = pa.schema([(f.name, {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}.get(f.dataType.simpleString(), pa.string())) for f in frame.schema.fields])
+        schema = pa.schema([(f.name, TYPES.get(f.dataType.simpleString(), pa.string())) for f in frame.schema.fields])
+        if not len(schema):
+            return
         size = self.options.batch_size or max(self.plan.n_rows, 1)
-        rows: list = []
-        for r in frame.toLocalIterator(prefetchPartitions=True):
-            rows.append(r)
-            if len(rows) == size:
-                yield self._table(rows, schema)
-                rows = []
-        if rows:
-            yield self._table(rows, schema)
-
-    @staticmethod
-    def _table(rows: list, schema: pa.Schema) -> pa.Table:
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        held, n = [], 0
+        for r in frame.mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+            own = pa.ipc.open_stream(r["batch"]).read_all().cast(schema)
+            while n + own.num_rows >= size:
+                yield pa.concat_tables([*held, own.slice(0, size - n)]).combine_chunks()
+                held, n, own = [], 0, own.slice(size - n)
+            if own.num_rows:
+                held.append(own)
+                n += own.num_rows
+        if held:
+            yield pa.concat_tables(held).combine_chunks()
+
+
+TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one row of bytes, so that its rows travel to the driver without becoming Python objects."""
+    for b in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema) as out:
+            out.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
 
 
 def read_xlsx(path: str, batch_size: int | None = 10000, sheet_name: str | None = None, sheet_idx: int | None = None, has_header: bool = True, skip_rows: list[int] | None = None, *, spark: SparkSession | None = None, metadata: bool = False, columns: list[str] | None = None, splits: int | None = None, **options) -> XlsxReader:

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import StructType
 
 from ..sources import cells as X
 from ..sources.opc import Workbook
@@ -87,8 +88,9 @@ class Plan:
             own = [(c, known[c]) for c in self.options.columns]
         return own + ([("_row", "long"), ("_ord", "long"), ("_batch_id", "long")] if self.options.metadata else [])
 
-    def ddl(self) -> str:
-        return ", ".join("`{}` {}".format(n.replace("`", "``"), t) for n, t in self.fields())
+    def ddl(self) -> str | StructType:
+        """The schema for Spark, which reads no text for an empty one."""
+        return StructType() if not self.fields() else ", ".join("`{}` {}".format(n.replace("`", "``"), t) for n, t in self.fields())
 
 
 def cut(path: str, part: str, options: Options, slots: int = MAX_SPLITS) -> tuple[bool, list[tuple[int, int]]]:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,6 +176,23 @@ def batch_iteration(spark, sf_dir):
     return spark.createDataFrame([(n, total)], "n long, total long")
 
 
+@query("SELECT 1 AS n_batches, count(*) AS n, sum(c_custkey) AS keys, count(DISTINCT c_name) AS names, round(sum(c_acctbal), 2) AS balance FROM customer")
+def whole_sheet_batch(spark, sf_dir):
+    """Without a batch size the iterator gives the sheet as one batch, which the caller holds."""
+    batches = list(R.read_xlsx(X.workbook(spark, sf_dir, "customer"), None, spark=spark, splits=3))
+    t = batches[0].select(["c_custkey", "c_name", "c_acctbal"])
+    row = (len(batches), t.num_rows, pc.sum(t["c_custkey"]).as_py(), pc.count_distinct(t["c_name"]).as_py(), round(pc.sum(t["c_acctbal"]).as_py(), 2))
+    return spark.createDataFrame([row], "n_batches int, n long, keys long, names long, balance double")
+
+
+@query(f"SELECT (rn - 1) // 700 AS batch, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM ({_ORDERED}) GROUP BY 1")
+def batch_tables(spark, sf_dir):
+    """The iterator's tables, each summed up by itself: batches end where they should, across splits."""
+    batches = R.read_xlsx(X.workbook(spark, sf_dir, "orders"), 700, spark=spark, splits=3)
+    rows = [(i, b.num_rows, *pc.min_max(b["o_orderkey"]).as_py().values()) for i, b in enumerate(batches)]
+    return spark.createDataFrame(rows, "batch long, n long, first long, last long")
+
+
 @query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS sheet_row, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS ord, o_orderkey FROM orders")
 def row_numbers(spark, sf_dir):
     return load(spark, X.workbook(spark, sf_dir, "orders"), metadata=True, splits=5).select(F.col("_row").alias("sheet_row"), F.col("_ord").alias("ord"), "o_orderkey")

@@ -132,7 +132,7 @@ class XlsxSource(DataSource):
             raise ValueError(f"no workbooks at {self.options['path']}")
         return [p.to_json() for p in joined([plan(f, options) for f in found])]
 
-    def schema(self) -> str:
+    def schema(self) -> str | StructType:
         return Plan.from_json(self._plans()[0]).ddl()
 
     def reader(self, schema) -> DataSourceReader:

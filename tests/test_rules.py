@@ -80,6 +80,21 @@ def test_skipped_rows_are_sheet_rows(spark, tmp_path):
     assert rows(spark, bare, header=False, skip_rows=[0]) == (["col_0"], ["bigint"], [(2,), (3,)])
 
 
+def test_batches_keep_values_and_types(spark, tmp_path):
+    body = head("n", "t", "b", "d") + "".join(f'<row r="{i}">{num(f"A{i}", i)}<c r="B{i}" t="str"><v>x{i}</v></c><c r="C{i}" t="b"><v>{i % 2}</v></c><c r="D{i}" s="1"><v>{45000 + i}</v></c></row>' for i in range(2, 9))
+    p = make(tmp_path, body, "typed", styles=STYLES)
+    want = [tuple(r) for r in read_xlsx(p, spark=spark).df.collect()]
+    for size, lengths in ((3, [3, 3, 1]), (7, [7]), (1, [1] * 7), (100, [7]), (None, [7])):
+        batches = list(read_xlsx(p, size, spark=spark))
+        assert [b.num_rows for b in batches] == lengths
+        assert [str(t) for t in batches[0].schema.types] == ["int64", "string", "bool", "timestamp[us]"]
+        assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == want
+    for i, empty in enumerate((head("a", "b"), "")):
+        r = read_xlsx(make(tmp_path, empty, f"none{i}"), None, spark=spark)
+        assert list(r) == [] and r.df.count() == 0 and len(r) == 0
+    assert spark.read.format("xlsx").load(make(tmp_path, "", "none")).count() == 0
+
+
 def test_absent_rows_vanish_and_empty_cells_do_not(spark, tmp_path):
     p = make(tmp_path, head("a", "b") + f'<row r="2">{num("A2", 1)}</row><row r="3"/><row r="5">{num("A5", 2)}</row><row r="6"><c r="A6" s="1"/></row>', styles=STYLES)
     assert rows(spark, p)[2] == [(1, None), (2, None), (None, None)]
