@@ -1,12 +1,14 @@
 """Hand-written sheets, one for each rule of reading, against literal rows."""
 
 import datetime as dt
+import os
 import zipfile
 
 import pytest
 
 from sheetframe.operators.reader import read_xlsx
 from sheetframe.plans.scan import Options, cut, plan, serial_micros
+from sheetframe.sources import sinks
 from sheetframe.sources.cells import Part
 from sheetframe.sources.opc import Workbook, is_date_code
 from sheetframe.sources.writer import raw_xlsx, write_xlsx
@@ -164,6 +166,11 @@ def test_empty_sheets_and_missing_parts(spark, tmp_path):
     for i, xml in enumerate(("<worksheet><sheetData/></worksheet>", "<worksheet><sheetData></sheetData></worksheet>")):
         p = plan(make(tmp_path, xml, f"e{i}", whole=True), Options())
         assert p.n_rows == 0 and p.names == []
+    df = read_xlsx(make(tmp_path, "", "nothing"), spark=spark).df
+    for sink, end in ((sinks.write_csv, "csv"), (sinks.write_parquet, "parquet")):
+        for _ in range(2):  # again over what is there
+            assert os.path.getsize(sink(df, str(tmp_path / f"out.{end}"))) == 0
+            assert os.listdir(sink(df, str(tmp_path / f"parts-{end}"), single=False)) == []
     p = raw_xlsx(str(tmp_path / "missing.xlsx"), {"Sheet1": None})
     with pytest.raises(ValueError, match="missing"):
         plan(p, Options())
