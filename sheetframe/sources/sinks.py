@@ -68,8 +68,12 @@ def write_parquet(df: DataFrame, path: str, single: bool = True) -> str:
 
 
 def write_workbook(df: DataFrame, path: str, sheet: str = "Sheet1", header: bool = True) -> str:
-    """One sheet from a DataFrame, in its order. A workbook is one compressed file with one table of strings, so rows stream through the driver, a partition at a time."""
+    """One sheet from a DataFrame, in its order, written by tasks. Where those can't (see writable()), rows stream through the driver, a partition at a time."""
+    from .pieces import writable, write_frames
     from .writer import write_xlsx
 
-    write_xlsx(path, [(sheet, df.columns if header else None, df.toLocalIterator(prefetchPartitions=True))])
+    if writable(df):
+        write_frames(path, [(sheet, df, header)])
+    else:
+        write_xlsx(path, [(sheet, df.columns if header else None, df.toLocalIterator(prefetchPartitions=True))])
     return path
