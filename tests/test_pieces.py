@@ -67,6 +67,24 @@ def test_pieces_are_entered_not_inflated_through(spark, frame, tmp_path, small,
     assert len(cut(p, part, Options(), 4)[1]) > 16  # as many as the sheet has bytes for
 
 
+def test_few_splits_are_planned_by_many_tasks(spark, frame, tmp_path, small, monkeypatch):
+    from sheetframe.plans import scan
+
+    p = str(tmp_path / "p.xlsx")
+    sinks.write_workbook(frame, p)
+    tasks = []
+
+    def run(todo, f):
+        tasks.extend(todo)
+        return [f(t) for t in todo]
+
+    want = scan.plan(p, Options(splits=3), run)
+    assert len(tasks) == 3
+    monkeypatch.setattr(scan, "SPLIT_BYTES", 20_000)
+    tasks.clear()
+    assert scan.plan(p, Options(splits=3), run) == want and len(tasks) > 30 and want.n_rows == 3000
+
+
 def test_pieces_of_a_rewritten_sheet_are_not_used(spark, frame, tmp_path, small):
     p, q = str(tmp_path / "p.xlsx"), str(tmp_path / "q.xlsx")
     sinks.write_workbook(frame, p)
@@ -103,3 +121,48 @@ def test_empty_frames(spark, tmp_path):
     sinks.write_workbook(spark.createDataFrame([], "a int, b string"), p)
     r = read_xlsx(p, spark=spark)
     assert r.df.columns == ["a", "b"] and r.df.count() == 0
+
+
+def test_a_stream_is_planned_by_a_job_and_drained_by_tasks(spark, tmp_path, monkeypatch):
+    """The stream's process, where no job can be run, gets the plan; rows don't come to the driver's memory."""
+    from pyspark.sql.streaming import DataStreamWriter
+    from sheetframe.streaming.workbooks import drain, stream_sheet
+
+    p = str(tmp_path / "s.xlsx")
+    sinks.write_workbook(spark.range(2000).selectExpr("id", "concat('t', id) t"), p)
+    sinks_used = []
+    real = DataStreamWriter.format
+    monkeypatch.setattr(DataStreamWriter, "format", lambda self, name: (sinks_used.append(name), real(self, name))[1])
+    stream = stream_sheet(spark, p, splits=3)
+    out = drain(stream, "drained")
+    assert sinks_used == ["parquet"] and sorted(map(tuple, out.collect())) == [(i, f"t{i}") for i in range(2000)]
+    assert spark.table("drained").count() == 2000
+
+
+def test_given_plans_are_used_while_the_file_is_the_same(spark, tmp_path, monkeypatch):
+    from sheetframe.sources import xlsx
+
+    p = str(tmp_path / "s.xlsx")
+    write_xlsx(p, [("S", ["v"], [(i,) for i in range(50)])])
+    given = xlsx.plan(p, Options(splits=2))
+    stream = xlsx.XlsxStream(p, Options(splits=2), given.fields(), {opc.stamp(p): given.to_json()})
+    planned = []
+    monkeypatch.setattr(xlsx, "plan", lambda f, o: planned.append(f) or given)
+    assert len(stream.partitions({"files": []}, {"files": [p]})) == 2 and planned == []
+    write_xlsx(p, [("S", ["v"], [(i,) for i in range(60)])])
+    stream.partitions({"files": []}, {"files": [p]})
+    assert planned == [p]
+
+
+def test_batches_are_mapped_in_tasks(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import DataFrame
+
+    p = str(tmp_path / "b.xlsx")
+    sinks.write_workbook(spark.range(3000).selectExpr("id", "concat('t', id) t"), p)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_, **__: 1 / 0)
+    for size, splits in ((700, 3), (7, 5), (None, 4), (30_000, 2)):
+        r = read_xlsx(p, size, spark=spark, splits=splits)
+        out = r.map_batches(lambda i, t: pa.table({"i": [i], "ids": [t["id"].to_pylist()], "ok": [t["t"].to_pylist() == [f"t{k}" for k in t["id"].to_pylist()]]}), "i long, ids array<long>, ok boolean")
+        want = [list(range(i, min(i + (size or 3000), 3000))) for i in range(0, 3000, size or 3000)]
+        assert [(x.i, x.ids, x.ok) for x in sorted(out.collect())] == [(i, w, True) for i, w in enumerate(want)]
